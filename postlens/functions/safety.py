@@ -23,34 +23,46 @@ def drop_control(c: Column) -> Column:
 
 
 def has_injection(c: Column, patterns: Sequence[str] = fixed.INJECTION_PATTERNS) -> Column:
-    return c.rlike("(?iu)" + "|".join(patterns))
+    """Does any pattern occur, whatever the case?
+
+    If all patterns start with a literal character, other positions are passed
+    over after one character test.
+    """
+    starts = {p[0] for p in patterns}
+    literal = all(s.isalnum() or s in "<@/:" for s in starts)
+    ahead = f"(?=[{''.join(sorted(starts))}])" if literal else ""
+    return c.rlike(f"(?iu){ahead}(?:{'|'.join(patterns)})")
 
 
 def sanitize(c: Column, max_bytes: int = fixed.SAFETY_MAX_BYTES) -> Column:
     return truncate_bytes(drop_control(c), max_bytes)
 
 
-def flag_map(
-    c: Column,
+def _flag_array(**flags: Column) -> Column:
+    """Array of the names whose condition holds, in the given (sorted) order."""
+    parts = [F.when(cond, F.array(F.lit(name))).otherwise(_no_flags()) for name, cond in flags.items()]
+    return F.concat(*parts)
+
+
+def string_flags(
+    clean: Column,
+    raw: Column,
     patterns: Sequence[str] = fixed.INJECTION_PATTERNS,
     max_bytes: int = fixed.SAFETY_MAX_BYTES,
 ) -> dict[str, Column]:
-    """One boolean per flag.  Injection is looked for before the text is cut."""
-    clean = drop_control(c)
+    """One condition per flag, by flag name in sorted order.
+
+    ``clean`` is ``raw`` without control characters; injection is looked for
+    before the text is cut.
+    """
+    size = F.octet_length(clean)
     return {
-        fixed.FLAG_CONTROL: c.rlike(_CONTROL),
-        fixed.FLAG_INJECTION: has_injection(clean, patterns),
-        fixed.FLAG_TRUNCATED: F.octet_length(clean) > max_bytes,
+        fixed.FLAG_CONTROL: F.coalesce(size < F.octet_length(raw), F.lit(False)),
+        fixed.FLAG_TRUNCATED: F.coalesce(size > max_bytes, F.lit(False)),
+        fixed.FLAG_INJECTION: F.coalesce(has_injection(clean, patterns), F.lit(False)),
     }
 
 
-def string_flags(c: Column, **options) -> Column:
-    """Flags of one string as an array, possibly with nulls removed later."""
-    return F.array_compact(
-        F.array(*[F.when(cond, F.lit(name)) for name, cond in flag_map(c, **options).items()])
-    )
-
-
 def union_flags(*arrays: Column) -> Column:
     """Sorted union of flag arrays, without empty strings."""
     merged = F.concat(*[F.coalesce(a, _no_flags()) for a in arrays])
@@ -74,7 +86,7 @@ def sanitize_nested(c: Column, dtype: DataType) -> Column:
 def nested_flags(c: Column, dtype: DataType) -> Column:
     """Union of the flags of every string inside ``c``."""
     if isinstance(dtype, StringType):
-        return F.coalesce(string_flags(c), _no_flags())
+        return _flag_array(**string_flags(drop_control(c), c))
     if isinstance(dtype, ArrayType):
         return F.coalesce(F.flatten(F.transform(c, lambda x: nested_flags(x, dtype.elementType))), _no_flags())
     if isinstance(dtype, MapType):
@@ -85,11 +97,26 @@ def nested_flags(c: Column, dtype: DataType) -> Column:
 
 
 def analyze_and_sanitize(df: DataFrame, fields: Sequence[str], flags_col: str = "safety_flags") -> DataFrame:
-    """Replace ``fields`` by their sanitised values and add the sorted flags."""
+    """Replace ``fields`` by their sanitised values and add the sorted flags.
+
+    Plain strings lose their control characters in a projection of their own,
+    so flags and cut read that result instead of repeating the expression.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    flags = union_flags(*[nested_flags(F.col(f), types[f]) for f in fields])
-    clean = {f: sanitize_nested(F.col(f), types[f]) for f in fields}
-    return df.withColumns({**clean, flags_col: flags})
+    plain = [f for f in fields if isinstance(types[f], StringType)]
+    nested = [f for f in fields if f not in plain]
+    staged = df.withColumns({f"_clean_{f}": drop_control(F.col(f)) for f in plain}) if plain else df
+
+    merged: dict[str, Column] = {}
+    for f in plain:
+        for name, cond in string_flags(F.col(f"_clean_{f}"), F.col(f)).items():
+            merged[name] = merged[name] | cond if name in merged else cond
+    flags = _flag_array(**merged) if merged else _no_flags()
+    if nested:
+        flags = union_flags(flags, *[nested_flags(F.col(f), types[f]) for f in nested])
+    clean = {f: truncate_bytes(F.col(f"_clean_{f}"), fixed.SAFETY_MAX_BYTES) for f in plain}
+    clean.update({f: sanitize_nested(F.col(f), types[f]) for f in nested})
+    return staged.withColumns({**clean, flags_col: flags}).drop(*[f"_clean_{f}" for f in plain])
 
 
 def is_action_blocked(action: Column, flags: Column) -> Column:

@@ -12,9 +12,10 @@ from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType, NumericType
 
 from .. import fixed
-from .text import as_text, is_blank, trim_space, truncate_bytes
+from .text import as_text, is_blank, request_text, trim_space, truncate_bytes
 
 
 def term_presence(text: Column, terms: Sequence[str]) -> Column:
@@ -127,8 +128,6 @@ def summarize(thread: Column) -> Column:
 
 
 def thread_or_message(thread: Column, subject: Column, body: Column) -> Column:
-    from .text import request_text
-
     return F.when(is_blank(as_text(thread)), request_text(subject, body)).otherwise(as_text(thread))
 
 
@@ -190,6 +189,8 @@ def predict_from_probabilities(probs: Column) -> dict[str, Column]:
     }
 
 
-def to_number(value: Column) -> Column:
-    """Lenient number: anything that is not one counts as 0."""
-    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+def to_number(value: Column, dtype: DataType) -> Column:
+    """A numeric column as double, null as 0; a column of any other type is 0."""
+    if isinstance(dtype, NumericType):
+        return F.coalesce(value.cast("double"), F.lit(0.0))
+    return F.lit(0.0)

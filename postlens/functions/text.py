@@ -10,7 +10,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -28,28 +30,45 @@ _STRIP_CHARS = _UNICODE_SPACES + "\x1c\x1d\x1e\x1f"
 
 TAG_PATTERN = r"<[^>]+>"
 CONTROL_PATTERN = r"[\p{C}&&[^\n\t]]"
-# A match can only start where a run of local-part characters starts or right
+# Leading look-aheads name the characters a match can start with; most positions
+# then fail on one character test.
+#
+# An address can only start where a run of local-part characters starts or right
 # after the previous match; saying so keeps long unbroken runs linear.
 EMAIL_PATTERN = (
     r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 )
-URL_PATTERN = r"""(?iU)(?:https?://|www\.|ftp://)[^\s<>"']+"""
-PHONE_PATTERN = r"(?U)\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
+URL_PATTERN = r"""(?=[hwfHWF])(?iU)(?:https?://|www\.|ftp://)[^\s<>"']+"""
+PHONE_PATTERN = (
+    r"(?U)(?=[(+\d])\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
+)
 
 # An ampersand that could open an entity.
 _ENTITY_HINT = r"&[^\t\n\f <&;]"
 # Characters NFKC leaves alone and that never combine with a neighbour, so a
-# text made only of them is already normalised.
+# text made only of them is already normalised.  In groups: the pattern tests
+# a group only if the character is in none before it.
 STABLE_RANGES = (
-    (0x0000, 0x009F), (0x00A1, 0x00A7), (0x00A9, 0x00A9), (0x00AB, 0x00AE),
-    (0x00B0, 0x00B1), (0x00B6, 0x00B7), (0x00BB, 0x00BB), (0x00BF, 0x0131),
-    (0x0134, 0x013E), (0x0141, 0x0148), (0x014A, 0x017E), (0x0391, 0x03A1),
-    (0x03A3, 0x03CE), (0x0400, 0x0482), (0x048A, 0x052F), (0x05D0, 0x05EA),
-    (0x2012, 0x2016), (0x2018, 0x2023), (0x2030, 0x2032), (0x20AC, 0x20AC),
-    (0x3001, 0x3002), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF),
-    (0xAC00, 0xD7A3),
+    ((0x0000, 0x009F),),
+    (
+        (0x00A1, 0x00A7), (0x00A9, 0x00A9), (0x00AB, 0x00AE), (0x00B0, 0x00B1),
+        (0x00B6, 0x00B7), (0x00BB, 0x00BB), (0x00BF, 0x0131), (0x0134, 0x013E),
+        (0x0141, 0x0148), (0x014A, 0x017E),
+    ),
+    (
+        (0x0391, 0x03A1), (0x03A3, 0x03CE), (0x0400, 0x0482), (0x048A, 0x052F),
+        (0x05D0, 0x05EA), (0x2012, 0x2016), (0x2018, 0x2023), (0x2030, 0x2032),
+        (0x20AC, 0x20AC), (0x3001, 0x3002), (0x3041, 0x3096), (0x30A1, 0x30FA),
+        (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+    ),
+)
+_NFKC_HINT = (
+    "["
+    + "&&".join(
+        "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in group) + "]" for group in STABLE_RANGES
+    )
+    + "]"
 )
-_NFKC_HINT = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in STABLE_RANGES) + "]"
 
 
 def as_text(c: Column) -> Column:
@@ -67,6 +86,21 @@ def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(_UNICODE_SPACES))
 
 
+def _replace_if(c: Column, needles: Sequence[str], pattern: str, by: str) -> Column:
+    """``regexp_replace``, skipped for texts that contain none of ``needles``.
+
+    A plain substring search is many times cheaper than a regular expression.
+    The one-element ``transform`` binds the input to a name, so a long chain of
+    such steps evaluates each of its steps once.
+    """
+
+    def step(x):
+        wanted = reduce(or_, [F.contains(x, F.lit(n)) for n in needles])
+        return F.when(wanted, F.regexp_replace(x, pattern, by)).otherwise(x)
+
+    return F.element_at(F.transform(F.array(c), step), 1)
+
+
 def is_blank(c: Column) -> Column:
     return trim_space(c) == ""
 
@@ -96,9 +130,13 @@ def _decode_where(c: Column, hint: Column, plain: Column, **steps) -> Column:
     return F.coalesce(_decoder(**steps)(F.when(hint, c)), plain)
 
 
+def _has_entity(c: Column) -> Column:
+    return F.contains(c, F.lit("&")) & c.rlike(_ENTITY_HINT)
+
+
 def unescape_html(c: Column) -> Column:
     """Decode HTML entities once."""
-    return _decode_where(c, c.rlike(_ENTITY_HINT), c, strip_tags=False, unescape=True, nfkc=False)
+    return _decode_where(c, _has_entity(c), c, strip_tags=False, unescape=True, nfkc=False)
 
 
 def normalize_nfkc(c: Column) -> Column:
@@ -110,13 +148,13 @@ def decode_entities_and_normalize(c: Column, strip_html: bool = True) -> Column:
 
     Rows with no entity and only NFKC-stable characters stay in the JVM.
     """
-    hint = c.rlike(f"{_ENTITY_HINT}|{_NFKC_HINT}")
+    hint = _has_entity(c) | c.rlike(_NFKC_HINT)
     plain = strip_tags(c) if strip_html else c
     return _decode_where(c, hint, plain, strip_tags=strip_html, unescape=True, nfkc=True)
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, TAG_PATTERN, " ")
+    return _replace_if(c, ["<"], TAG_PATTERN, " ")
 
 
 def strip_control(c: Column) -> Column:
@@ -125,7 +163,7 @@ def strip_control(c: Column) -> Column:
 
 
 def mask_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL_PATTERN, fixed.EMAIL_MASK)
+    return _replace_if(c, ["@"], EMAIL_PATTERN, fixed.EMAIL_MASK)
 
 
 def mask_urls(c: Column) -> Column:
@@ -145,8 +183,8 @@ def mask_pii(c: Column, emails: bool = True, urls: bool = True, phones: bool = T
 
 
 def normalize_whitespace(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    c = _replace_if(c, ["  ", "\t"], r"[ \t]+", " ")
+    c = _replace_if(c, ["\n\n\n"], r"\n{3,}", "\n\n")
     return strip_space(c)
 
 

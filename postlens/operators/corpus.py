@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
 from ..functions.text import clean_text, truncate_chars
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, with_computed
 
 
 def digest(c: Column) -> Column:
@@ -26,7 +26,7 @@ def clean_records(
     df: DataFrame, text_col: str = "text", min_chars: int = fixed.MIN_RECORD_CHARS, **clean_options
 ) -> DataFrame:
     """Clean ``text_col`` and keep records that are long enough."""
-    cleaned = df.withColumn(text_col, clean_text(F.col(text_col), **clean_options))
+    cleaned = with_computed(df, text_col, clean_text(F.col(text_col), **clean_options))
     return cleaned.where(F.length(text_col) >= min_chars)
 
 
@@ -84,11 +84,11 @@ def preprocess_pairs(
     deduplicate: bool = True,
 ) -> DataFrame:
     """Clean (text, summary) pairs; the dialogue alone decides what is a copy."""
-    cleaned = df.withColumns(
-        {
-            "text": clean_text(F.col("text"), lowercase=False, max_chars=max_dialogue_chars),
-            "summary": clean_text(F.col("summary"), lowercase=False, max_chars=max_summary_chars),
-        }
+    cleaned = with_computed(
+        df, "text", clean_text(F.col("text"), lowercase=False, max_chars=max_dialogue_chars)
+    )
+    cleaned = with_computed(
+        cleaned, "summary", clean_text(F.col("summary"), lowercase=False, max_chars=max_summary_chars)
     )
     kept = cleaned.where(
         (F.length("text") >= min_dialogue_chars) & (F.length("summary") >= min_summary_chars)

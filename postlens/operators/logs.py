@@ -11,8 +11,9 @@ from ..session import broadcast_if_small
 _SALTS = 32
 
 
-def window_start(ts: Column, length: str) -> Column:
-    return F.window(ts, length)["start"]
+def window_index(ts: Column, seconds: int) -> Column:
+    """Number of the calendar window of ``seconds`` that holds ``ts``."""
+    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000))
 
 
 def rate_limit(
@@ -21,7 +22,7 @@ def rate_limit(
     tenant_col: str = "tenant_id",
     ts_col: str = "ts",
     id_col: str = "request_id",
-    window: str = "1 minute",
+    window_seconds: int = 60,
     max_requests: int = fixed.RATE_LIMIT_PER_MINUTE,
 ) -> DataFrame:
     """Add ``allowed``: is the request among its tenant's first in the window?
@@ -31,7 +32,7 @@ def rate_limit(
     found per salted part (a group limit before the shuffle), then among those,
     and every request compares itself with the last allowed one.
     """
-    start = window_start(F.col(ts_col), window)
+    start = window_index(F.col(ts_col), window_seconds)
     order = F.struct(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
     marked = df.withColumns({"_start": start, "_order": order})
     narrow = marked.select(

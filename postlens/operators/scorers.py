@@ -90,7 +90,7 @@ class ColumnScorer:
 
     def score(self, task: str, text: Column) -> Score:
         parts = F.col(self.contributions_col) if self.contributions_col else None
-        return Score(scoring.to_number(F.col(self.score_col)), F.col(self.confidence_col), self.explanations, parts)
+        return Score(F.coalesce(F.col(self.score_col), F.lit(0.0)), F.col(self.confidence_col), self.explanations, parts)
 
 
 DEFAULT_SCORERS: tuple[Scorer, ...] = (PrimaryScorer(), FallbackScorer())
@@ -218,7 +218,8 @@ def route(
 def decide(df: DataFrame, task: str, score_col: str = "score") -> DataFrame:
     """Label and recommended action from the score and the tenant's threshold."""
     threshold, above, below = _DECISIONS[task]
-    hit = scoring.to_number(F.col(score_col)) >= F.col(threshold)
+    score = scoring.to_number(F.col(score_col), df.schema[score_col].dataType)
+    hit = score >= F.col(threshold)
     return df.withColumns(
         {
             "label": F.when(hit, F.lit(above[0])).otherwise(F.lit(below[0])),

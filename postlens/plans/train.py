@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from .. import fixed
 from ..functions import scoring
 from ..operators import corpus, metrics as m
-from ..session import broadcast_if_small
+from ..session import materialize
 
 
 def priority_training_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -24,14 +25,6 @@ def priority_training_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
     return feats.withColumn("priority", scoring.priority_class(*signals))
 
 
-def _with_balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
-    """n / (classes * class size): the weights of a class sum to n / classes."""
-    sizes = broadcast_if_small(df.groupBy(label_col).agg(F.count("*").alias("_n")))
-    whole = sizes.agg(F.sum("_n").alias("all"), F.count("*").alias("k")).first()
-    weight = F.lit(float(whole["all"])) / (F.lit(float(whole["k"])) * F.col("_n"))
-    return df.join(sizes, label_col).withColumn("weight", weight).drop("_n")
-
-
 def train_priority_model(
     df: DataFrame,
     *,
@@ -43,26 +36,46 @@ def train_priority_model(
 ) -> tuple[PipelineModel, DataFrame]:
     """A scaled multinomial logistic regression on the priority features.
 
-    Returns the model and its predictions on the last tenth of the records.
+    The features take few distinct values, so the training part is counted per
+    (features, class) in one aggregate and the optimizer iterates over those
+    weighted rows; the optimum is that of the single records.  Classes weigh
+    n / (classes * class size), features are scaled by their population mean
+    and deviation.  Returns the model and its predictions on the last tenth.
     """
     rows = priority_training_rows(df, text_col).select(id_col, *scoring.FEATURES, "priority")
     train, val = corpus.positional_split(rows, id_col=id_col, seed=seed)
-    weighted = _with_balanced_weights(train, "priority").persist(StorageLevel.MEMORY_AND_DISK)
-    total = weighted.agg(F.sum("weight")).first()[0]
+    counted = materialize(
+        train.groupBy(*scoring.FEATURES, "priority").agg(F.count("*").cast("double").alias("n")), "features"
+    )
+    moments = [
+        x
+        for f in scoring.FEATURES
+        for x in (F.sum(F.col(f) * F.col("n")).alias(f), F.sum(F.col(f) * F.col(f) * F.col("n")).alias(f"{f}_sq"))
+    ]
+    facts = counted.agg(F.sum("n").alias("n"), F.count_distinct("priority").alias("k"), *moments).first()
+    total = facts["n"]
+
+    scaled = []
+    for f in scoring.FEATURES:
+        mean = facts[f] / total
+        spread = math.sqrt(max(facts[f"{f}_sq"] / total - mean * mean, 0.0)) or 1.0
+        scaled.append(f"({f} - {mean!r}D) / {spread!r}D AS z_{f}")
+    size = F.sum("n").over(Window.partitionBy("priority"))
+    weighted = counted.withColumn("weight", F.col("n") * F.lit(total) / (F.lit(float(facts["k"])) * size))
     stages = [
-        VectorAssembler(inputCols=list(scoring.FEATURES), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
+        SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"z_{f}" for f in scoring.FEATURES], outputCol="features"),
         LogisticRegression(
             labelCol="priority",
             weightCol="weight",
             family="multinomial",
             maxIter=max_iter,
+            # The class weights sum to the number of records.
             regParam=1.0 / (c * total),
             standardization=False,
         ),
     ]
     model = Pipeline(stages=stages).fit(weighted)
-    weighted.unpersist()
     guesses = model.transform(val).select(
         id_col, F.col("priority").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
     )

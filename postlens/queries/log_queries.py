@@ -44,7 +44,7 @@ def _admitted(spark, sf):
         F.when(kind == 0, "  ").otherwise(F.col("tenant_id")).alias("tenant_header"),
         body.alias("body"),
     )
-    limited = logs.rate_limit(raw, tenant_col="tenant_header", id_col="event_id", window="1 hour", max_requests=2)
+    limited = logs.rate_limit(raw, tenant_col="tenant_header", id_col="event_id", window_seconds=3600, max_requests=2)
     return logs.admit_requests(limited, allowed_col="allowed", max_bytes=256)
 
 
@@ -69,7 +69,7 @@ def request_counters(spark, sf):
 )
 def rate_limit(spark, sf):
     log = b.events_utc(spark, sf)
-    return logs.rate_limit(log, id_col="event_id", window="1 hour", max_requests=2).select(
+    return logs.rate_limit(log, id_col="event_id", window_seconds=3600, max_requests=2).select(
         "event_id", "tenant_id", "allowed"
     )
 

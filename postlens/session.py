@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 32 << 20
@@ -21,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -53,6 +54,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add (or replace) a costly column that later filters read, not recompute.
+
+    The optimizer would copy the expression into a filter it pushes down; it
+    does not push a filter below a generator.
+    """
+    others = [c for c in df.columns if c != name]
+    staged = df.withColumn("_computed", value)
+    return staged.select(*others, F.explode_outer(F.array("_computed")).alias(name)).select(
+        *(df.columns if name in df.columns else [*df.columns, name])
+    )
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> DataFrame:

@@ -57,7 +57,6 @@ def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
 
 _CSV = {
     "header": True,
-    "multiLine": True,
     "quote": '"',
     "escape": '"',
     "encoding": "UTF-8",
@@ -87,15 +86,17 @@ def _headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
     return {r["header"].lstrip("\ufeff"): r["files"] for r in files.limit(MAX_BROADCAST_ROWS).collect()}
 
 
-def read_csv_corpus(spark: SparkSession, root: str, source: str) -> DataFrame:
+def read_csv_corpus(spark: SparkSession, root: str, source: str, *, multi_line: bool = True) -> DataFrame:
     """Labelled messages from every CSV file under ``root``.
 
     Files are grouped by header; text and label columns are guessed per group,
-    and a group where that fails is left out.
+    and a group where that fails is left out.  Quoted texts may hold newlines,
+    which makes one file one task; pass ``multi_line=False`` for huge files
+    without them, and Spark splits the files.
     """
     parts = []
     for header, files in sorted(_headers(spark, root).items()):
-        df = spark.read.options(**_CSV).csv(files)
+        df = spark.read.options(**_CSV, multiLine=multi_line).csv(files)
         columns = df.columns
         text_col = guess_column(columns, fixed.TEXT_COLUMN_CANDIDATES)
         label_col = guess_column(columns, fixed.LABEL_COLUMN_CANDIDATES)
