@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, NumericType
@@ -79,14 +79,23 @@ FEATURES = ("urgency", "meeting", "question", "action", "attachment", "length_bu
 
 
 def priority_features(text: Column) -> dict[str, Column]:
-    """Six features; word sets match whitespace tokens, phrases match anywhere."""
+    """Six features; word sets match whitespace tokens, phrases match anywhere.
+
+    A term with a space in it can never be a token.  Tokens are not split off:
+    a word counts if it stands between whitespace or the ends of the text, and
+    that is only looked at in texts that contain the word at all.
+    """
     lower = F.lower(text)
-    words = F.split(lower, r"(?U)[\s\x1c-\x1f]+")
+    gap = r"[^\s\x1c-\x1f]"
+
+    def has_any(terms):
+        return reduce(or_, [F.contains(lower, F.lit(t)) for t in terms])
 
     def has_word(vocabulary):
-        return F.arrays_overlap(words, F.array(*[F.lit(w) for w in vocabulary])).cast("double")
+        words = [w for w in vocabulary if " " not in w]
+        return (has_any(words) & lower.rlike(f"(?U)(?<!{gap})(?:{'|'.join(words)})(?!{gap})")).cast("double")
 
-    has_phrase = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(p)) for p in fixed.ACTION_PHRASES])
+    has_phrase = has_any(fixed.ACTION_PHRASES)
     bucket = F.when(F.length(text) < 100, 0.0).when(F.length(text) < 500, 1.0).otherwise(2.0)
     return {
         "urgency": has_word(fixed.URGENCY_WORDS),
@@ -157,9 +166,19 @@ def json_bytes(fields: dict[str, Column]) -> Column:
     ``to_json`` leaves them as they are, so the difference is added.
     """
     doc = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
-    ascii_escapes = F.length(doc) - F.length(F.translate(doc, "<>&", ""))
-    line_escapes = F.length(doc) - F.length(F.translate(doc, "\u2028\u2029", ""))
-    return F.octet_length(doc) + ascii_escapes * 5 + line_escapes * 3
+
+    def size(d):
+        plain, joined = d, d
+        for c in "<>&":
+            plain = F.replace(plain, F.lit(c), F.lit(""))
+        for c in "\u2028\u2029":
+            joined = F.replace(joined, F.lit(c), F.lit(""))
+        whole = F.octet_length(d)
+        # One byte becomes six, three bytes become six.
+        return whole + (whole - F.octet_length(plain)) * 5 + (whole - F.octet_length(joined))
+
+    # Bound to a name by the transform, so the document is built once.
+    return F.element_at(F.transform(F.array(doc), size), 1)
 
 
 def input_tokens(fields: dict[str, Column]) -> Column:

@@ -38,9 +38,14 @@ CONTROL_PATTERN = r"[\p{C}&&[^\n\t]]"
 EMAIL_PATTERN = (
     r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 )
-URL_PATTERN = r"""(?=[hwfHWF])(?iU)(?:https?://|www\.|ftp://)[^\s<>"']+"""
+URL_PATTERN = r"""(?=[hwfHWF])(?iU)(?:https?://|www\.|ftp://)[^\s\x1c-\x1f<>"']+"""
+# Word boundaries are spelled out over letters, numbers and the underscore: Java
+# counts combining marks as word characters, the published rule does not.
+_WORD = r"[\p{L}\p{N}_]"
+_GAP = r"[-.\s\x1c-\x1f]?"
 PHONE_PATTERN = (
-    r"(?U)(?=[(+\d])\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
+    rf"(?U)(?=[(+\d])(?:(?=\d)(?<!{_WORD})|(?<={_WORD})(?=[(+]))"
+    rf"(?:\+?1{_GAP})?(?:\(?\d{{3}}\)?{_GAP})?\d{{3}}{_GAP}\d{{4}}(?!{_WORD})"
 )
 
 # An ampersand that could open an entity.

@@ -44,8 +44,10 @@ def train_priority_model(
     """
     rows = priority_training_rows(df, text_col).select(id_col, *scoring.FEATURES, "priority")
     train, val = corpus.positional_split(rows, id_col=id_col, seed=seed)
+    # At most a few hundred combinations exist, so one partition holds them.
     counted = materialize(
-        train.groupBy(*scoring.FEATURES, "priority").agg(F.count("*").cast("double").alias("n")), "features"
+        train.groupBy(*scoring.FEATURES, "priority").agg(F.count("*").cast("double").alias("n")).coalesce(1),
+        "features",
     )
     moments = [
         x

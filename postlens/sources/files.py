@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import fixed, schemas
 from ..functions.labels import guess_column, normalize_label
@@ -38,7 +38,7 @@ def load_split(
 ) -> DataFrame:
     """One split (its folder alone is read) or all of them with their name."""
     path = f"{out_dir.rstrip('/')}/{prefix}splits"
-    typed = StructType(schema.fields).add("split", "string")
+    typed = StructType([*schema.fields, StructField("split", StringType())])
     df = read_jsonl(spark, path, typed)
     return df if split is None else df.where(F.col("split") == split).drop("split")
 
