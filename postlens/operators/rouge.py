@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-Stemmer = Callable[[Column], Column]
-
-
-def tokens(text: Column, stem: Stemmer | None = None) -> Column:
-    """Lower-case runs of ASCII letters and digits.
+from ..functions.stem import stem_tokens
 
-    ``stem`` maps a token column to its stem; tokens of up to three characters
-    are left as they are.
-    """
+def tokens(text: Column, stem: bool = True) -> Column:
+    """Lower-case runs of ASCII letters and digits, as stems if wanted."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    if stem is None:
-        return words
-    return F.transform(words, lambda w: F.when(F.length(w) > 3, stem(w)).otherwise(w))
+    return stem_tokens(words) if stem else words
 
 
 def _bigrams(words: Column) -> Column:
@@ -44,7 +35,7 @@ def rouge_n(
     id_col: str = "pair_id",
     prediction: str = "prediction",
     reference: str = "reference",
-    stem: Stemmer | None = None,
+    stem: bool = True,
 ) -> DataFrame:
     """F-measure of n-gram overlap per pair (n = 1 or 2).
 
@@ -52,8 +43,12 @@ def rouge_n(
     groupings then stay within a partition, so n-grams are never shuffled.
     """
     make = {1: lambda w: w, 2: _bigrams}[n]
-    said, real = (make(tokens(F.coalesce(F.col(c), F.lit("")), stem)) for c in (prediction, reference))
-    placed = df.select(id_col, said.alias("_said"), real.alias("_real")).repartition(id_col)
+    placed = df.select(id_col, prediction, reference).repartition(id_col)
+    words = placed.select(
+        id_col,
+        *[tokens(F.coalesce(F.col(c), F.lit("")), stem).alias(c) for c in (prediction, reference)],
+    )
+    placed = words.select(id_col, make(F.col(prediction)).alias("_said"), make(F.col(reference)).alias("_real"))
     sides = F.array(
         F.struct(F.col("_said").alias("grams"), F.lit(1).alias("a"), F.lit(0).alias("b")),
         F.struct(F.col("_real").alias("grams"), F.lit(0).alias("a"), F.lit(1).alias("b")),
@@ -96,7 +91,7 @@ def rouge_l(
     id_col: str = "pair_id",
     prediction: str = "prediction",
     reference: str = "reference",
-    stem: Stemmer | None = None,
+    stem: bool = True,
 ) -> DataFrame:
     """F-measure of the longest common subsequence per pair."""
     words = df.select(

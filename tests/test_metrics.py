@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens import fixed
+from postlens.functions.stem import stem_word
 from postlens.operators import metrics as m, ranks, rouge as r, search
 from postlens.plans import evaluate as ev, train
 
@@ -154,7 +155,7 @@ def test_rouge(spark):
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(80)]
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(texts, reversed(texts)))] + [(99, "the cat sat", "the cat sat"), (100, "", "")]
     df = spark.createDataFrame(rows, "pair_id long, prediction string, reference string")
-    for n, frame in ((1, r.rouge_n(df, 1)), (2, r.rouge_n(df, 2)), ("L", r.rouge_l(df))):
+    for n, frame in ((1, r.rouge_n(df, 1, stem=False)), (2, r.rouge_n(df, 2, stem=False)), ("L", r.rouge_l(df, stem=False))):
         got = {x["pair_id"]: x[f"rouge{n}"] for x in frame.collect()}
         assert got == {i: pytest.approx(rouge_model(a, b, n)) for i, a, b in rows}
     whole = r.rouge_summary(df.where("pair_id = 99")).first()
@@ -162,6 +163,31 @@ def test_rouge(spark):
     assert tuple(r.rouge_summary(df.limit(0)).first()) == (0.0, 0.0, 0.0, 0)
 
 
+# Examples of the published algorithm.
+STEMS = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc
+hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope
+callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form
+formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow
+inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ
+angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas
+controll control roll roll dying die enjoy enjoy died die flies fli geologi geolog""".split()
+
+
+def test_stems():
+    got = {w: stem_word(w) for w in STEMS[::2]}
+    assert got == dict(zip(STEMS[::2], STEMS[1::2]))
+
+
+def test_stemmed_rouge(spark):
+    df = spark.createDataFrame([(1, "running dogs jumped", "run dog jump")], "pair_id long, prediction string, reference string")
+    assert tuple(r.rouge_summary(df).first()) == (100.0, 100.0, 100.0, 1)
+    assert r.rouge_n(df, 1, stem=False).first()["rouge1"] == 0.0
+
+
 def test_rouge_needs_no_shuffle_of_ngrams(spark):
     df = spark.createDataFrame([(1, "a b", "a c")], "pair_id long, prediction string, reference string")
     plan = r.rouge_n(df, 2)._jdf.queryExecution().executedPlan().toString()
