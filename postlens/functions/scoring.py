@@ -162,10 +162,10 @@ def rewrite_reply(text: Column, tone: Column) -> Column:
 def json_bytes(fields: dict[str, Column]) -> Column:
     """Bytes of the fields as a JSON object with sorted keys and HTML-safe escapes.
 
-    ``<``, ``>`` and ``&`` take six bytes each there, U+2028 and U+2029 too;
+    A null field counts as absent.  ``<``, ``>`` and ``&`` take six bytes each there, U+2028 and U+2029 too;
     ``to_json`` leaves them as they are, so the difference is added.
     """
-    doc = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    doc = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "true"})
 
     def size(d):
         plain, joined = d, d

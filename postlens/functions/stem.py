@@ -1,13 +1,11 @@
 """English word stems (the published Porter algorithm with its usual extensions).
 
-Only ROUGE uses it.  Stems depend on the word alone and vocabularies repeat, so
-each Python worker remembers the stems it has made.
+Only ROUGE uses it.  Stems depend on the word alone and words repeat, so each
+Arrow batch makes the stem of a word once.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -107,7 +105,6 @@ def _last_suffix(word: str) -> str:
     return stem
 
 
-@lru_cache(maxsize=200_000)
 def stem_word(word: str) -> str:
     if word in IRREGULAR:
         return IRREGULAR[word]
@@ -130,4 +127,6 @@ def stem_word(word: str) -> str:
 @F.pandas_udf(ArrayType(StringType()))
 def stem_tokens(tokens: pd.Series) -> pd.Series:
     """Stems of the tokens that have more than three characters."""
-    return tokens.map(lambda ws: None if ws is None else [stem_word(w) if len(w) > 3 else w for w in ws])
+    words = {w for ws in tokens if ws is not None for w in ws}
+    stems = {w: stem_word(w) if len(w) > 3 else w for w in words}
+    return tokens.map(lambda ws: None if ws is None else [stems[w] for w in ws])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -33,8 +34,18 @@ def running_totals(
     hist = materialize(hist, "hist")
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, cuts, F.lit(10 * buckets)).alias("_bounds"))
-    below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    parts = hist.join(broadcast_if_small(bounds), keys).withColumn("_bucket", below).drop("_bounds")
+    # A value's bucket is the number of bounds below it, counted in two steps:
+    # among every ``step``-th bound, then among the few that follow.
+    step = math.isqrt(buckets - 1) + 1
+    every = F.sequence(F.lit(step), F.lit(buckets - 1), F.lit(step)) if step < buckets else F.array().cast("array<int>")
+    bounds = bounds.withColumn("_coarse", F.transform(every, lambda i: F.element_at("_bounds", i)))
+
+    def below(limits):
+        return F.size(F.filter(limits, lambda b: b < F.col(value)))
+
+    parts = hist.join(broadcast_if_small(bounds), keys).withColumn("_skip", below("_coarse") * step)
+    fine = F.slice("_bounds", F.col("_skip") + 1, F.lit(step - 1))
+    parts = parts.withColumn("_bucket", F.col("_skip") + below(fine)).drop("_bounds", "_coarse", "_skip")
 
     def order(c):
         return F.col(c).desc() if descending else F.col(c)

@@ -39,15 +39,15 @@ def rouge_n(
 ) -> DataFrame:
     """F-measure of n-gram overlap per pair (n = 1 or 2).
 
-    The pairs are partitioned by id once, as texts; exploding and both
+    The pairs are partitioned by id once, as token arrays; exploding and both
     groupings then stay within a partition, so n-grams are never shuffled.
     """
     make = {1: lambda w: w, 2: _bigrams}[n]
-    placed = df.select(id_col, prediction, reference).repartition(id_col)
-    words = placed.select(
+    # Stemming comes first: a Python step would forget the partitioning.
+    words = df.select(
         id_col,
         *[tokens(F.coalesce(F.col(c), F.lit("")), stem).alias(c) for c in (prediction, reference)],
-    )
+    ).repartition(id_col)
     placed = words.select(id_col, make(F.col(prediction)).alias("_said"), make(F.col(reference)).alias("_real"))
     sides = F.array(
         F.struct(F.col("_said").alias("grams"), F.lit(1).alias("a"), F.lit(0).alias("b")),

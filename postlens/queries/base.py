@@ -104,12 +104,17 @@ def events_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log(table(spark, sf_dir, "events"))
 
 
+def utc(c: Column) -> Column:
+    """A zone-less time read as UTC, whatever the session's zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+
+
 def as_log(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id",
         F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("tenant_id"),
         F.col("event_type").alias("task_type"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc(F.col("ts")).alias("ts"),
         F.col("value").alias("latency_ms"),
         F.expr("event_id div 10").cast("string").alias("message_id"),
         "props",

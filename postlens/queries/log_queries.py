@@ -113,7 +113,7 @@ def job_events(events):
         job.alias("job_id"),
         step.alias("seq"),
         F.concat(F.lit("t"), (job % 7).cast("string")).alias("tenant_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        b.utc(F.col("ts")).alias("ts"),
         status.alias("status"),
     )
 

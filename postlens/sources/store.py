@@ -7,11 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed, schemas
 
 
-def add_records(df: DataFrame, path: str) -> None:
-    """Append records; a missing ``created_at`` becomes now."""
+def add_records(df: DataFrame, path: str, *, rebalance: bool = False) -> None:
+    """Append records; a missing ``created_at`` becomes now.
+
+    Every task writes a file per part it holds.  ``rebalance`` shuffles the
+    records first, so that a load from many tasks gives few, even files; large
+    parts are split, small ones joined.
+    """
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RECORD.fields if f.name not in df.columns]
     full = df.select("*", *missing).select(*schemas.RECORD.names)
     stamped = full.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+    if rebalance:
+        stamped = stamped.hint("rebalance", "domain", "split")
     stamped.write.mode("append").partitionBy("domain", "split").parquet(path)
 
 

@@ -101,25 +101,21 @@ def merge_job_state(
     path: str,
     *,
     checkpoint: str | None = None,
-    buckets: int = 64,
     job_col: str = "job_id",
     ts_col: str = "ts",
     seq_col: str = "seq",
 ) -> DataFrame:
     """Keep each job's latest event in a table, batch by batch.
 
-    A batch is reduced to its latest event per job before it is appended, and
-    reading reduces again, so a replayed batch changes nothing.  Jobs are
-    spread over ``buckets`` folders; :func:`compact_job_state` rewrites them.
+    A batch is reduced to its latest event per job before it is written, and
+    reading reduces again, so order between batches does not matter.  The batch
+    id names the folder: a batch that is run again replaces its own output.
     """
     spark = events.sparkSession
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_events(batch, job_col, ts_col, seq_col).withColumn(
-            "bucket", F.pmod(F.xxhash64(job_col), F.lit(buckets)).cast("int")
-        )
-        # The batch id names the folder, so a retry overwrites its own output.
-        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        newest = latest_events(batch, job_col, ts_col, seq_col)
+        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
         events.writeStream.foreachBatch(absorb)
@@ -139,13 +135,16 @@ def latest_events(df: DataFrame, job_col: str, ts_col: str, seq_col: str) -> Dat
 def read_job_state(
     spark: SparkSession, path: str, job_col: str = "job_id", ts_col: str = "ts", seq_col: str = "seq"
 ) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch", "bucket")
+    rows = spark.read.parquet(path).drop("batch")
     return latest_events(rows, job_col, ts_col, seq_col)
 
 
 def compact_job_state(spark: SparkSession, path: str, out: str, **columns) -> None:
-    """Write one row per job to a new table for the next run to start from."""
-    read_job_state(spark, path, **columns).write.mode("errorifexists").parquet(out)
+    """Write one row per job as the first part of a new state table.
+
+    The stream goes on into ``out`` with its old checkpoint.
+    """
+    read_job_state(spark, path, **columns).write.mode("errorifexists").parquet(f"{out}/batch=-1")
 
 
 # ---- sources ---------------------------------------------------------------------------

@@ -207,7 +207,7 @@ def test_store(spark):
     rows = [("1", "spam", "train", "a"), ("2", "spam", "val", "b"), ("3", "phishing", "train", "c")]
     df = spark.createDataFrame(rows, "id string, domain string, split string, text string")
     store.add_records(df, path)
-    store.add_records(df.limit(1), path)
+    store.add_records(df.limit(1), path, rebalance=True)
     all_records = store.read_records(spark, path)
     assert store.query_records(all_records).count() == 4
     assert store.query_records(all_records, "spam", "train").count() == 2

@@ -123,6 +123,7 @@ def test_stream_job_state_over_several_batches(spark):
     out = scratch_path(spark, "compact")
     jobs.compact_job_state(spark, path, out)
     assert spark.read.parquet(out).count() == 40
+    assert jobs.merge_job_state(source, out, checkpoint=mark).count() == 40
 
 
 def test_stream_feedback_drops_repeats(spark):
