@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from .. import fixed
-from .text import as_text, trim_space, truncate_bytes
+from .text import as_text, bind, trim_space, truncate_bytes
 
 _CONTROL = r"[\x00-\x08\x0B-\x1F]"
 
@@ -35,7 +35,7 @@ def has_injection(c: Column, patterns: Sequence[str] = fixed.INJECTION_PATTERNS)
 
 
 def sanitize(c: Column, max_bytes: int = fixed.SAFETY_MAX_BYTES) -> Column:
-    return truncate_bytes(drop_control(c), max_bytes)
+    return bind(drop_control(c), lambda clean: truncate_bytes(clean, max_bytes))
 
 
 def _flag_array(**flags: Column) -> Column:
@@ -86,7 +86,7 @@ def sanitize_nested(c: Column, dtype: DataType) -> Column:
 def nested_flags(c: Column, dtype: DataType) -> Column:
     """Union of the flags of every string inside ``c``."""
     if isinstance(dtype, StringType):
-        return _flag_array(**string_flags(drop_control(c), c))
+        return bind(drop_control(c), lambda clean: _flag_array(**string_flags(clean, c)))
     if isinstance(dtype, ArrayType):
         return F.coalesce(F.flatten(F.transform(c, lambda x: nested_flags(x, dtype.elementType))), _no_flags())
     if isinstance(dtype, MapType):
@@ -116,7 +116,10 @@ def analyze_and_sanitize(df: DataFrame, fields: Sequence[str], flags_col: str =
         flags = union_flags(flags, *[nested_flags(F.col(f), types[f]) for f in nested])
     clean = {f: truncate_bytes(F.col(f"_clean_{f}"), fixed.SAFETY_MAX_BYTES) for f in plain}
     clean.update({f: sanitize_nested(F.col(f), types[f]) for f in nested})
-    return staged.withColumns({**clean, flags_col: flags}).drop(*[f"_clean_{f}" for f in plain])
+    # Flags first, on their own: a column named inside a lambda function resolves
+    # to a new column of that name in the same projection, not to the old one.
+    flagged = staged.withColumn(flags_col, flags)
+    return flagged.withColumns(clean).drop(*[f"_clean_{f}" for f in plain])
 
 
 def is_action_blocked(action: Column, flags: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, NumericType
 
 from .. import fixed
-from .text import as_text, is_blank, request_text, trim_space, truncate_bytes
+from .text import as_text, bind, is_blank, request_text, trim_space, truncate_bytes
 
 
 def term_presence(text: Column, terms: Sequence[str]) -> Column:
@@ -131,9 +131,12 @@ def priority_value(cls: Column) -> Column:
 
 def summarize(thread: Column) -> Column:
     """One line: kept whole up to 180 bytes, else its first 177 bytes and dots."""
-    line = trim_space(F.translate(thread, "\n", " "))
-    cut = F.concat(truncate_bytes(line, fixed.SUMMARY_CUT_BYTES), F.lit(fixed.SUMMARY_TAIL))
-    return F.when(F.octet_length(line) <= fixed.SUMMARY_MAX_BYTES, line).otherwise(cut)
+
+    def shorten(line):
+        cut = F.concat(truncate_bytes(line, fixed.SUMMARY_CUT_BYTES), F.lit(fixed.SUMMARY_TAIL))
+        return F.when(F.octet_length(line) <= fixed.SUMMARY_MAX_BYTES, line).otherwise(cut)
+
+    return bind(trim_space(F.replace(thread, F.lit("\n"), F.lit(" "))), shorten)
 
 
 def thread_or_message(thread: Column, subject: Column, body: Column) -> Column:
@@ -177,8 +180,7 @@ def json_bytes(fields: dict[str, Column]) -> Column:
         # One byte becomes six, three bytes become six.
         return whole + (whole - F.octet_length(plain)) * 5 + (whole - F.octet_length(joined))
 
-    # Bound to a name by the transform, so the document is built once.
-    return F.element_at(F.transform(F.array(doc), size), 1)
+    return bind(doc, size)
 
 
 def input_tokens(fields: dict[str, Column]) -> Column:

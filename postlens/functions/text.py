@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 from operator import or_
 
@@ -91,19 +91,26 @@ def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(_UNICODE_SPACES))
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c`` where ``c`` is evaluated once, however often it is used.
+
+    A one-element ``transform`` gives the value a name; nested expressions
+    would otherwise be repeated at every mention.
+    """
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _replace_if(c: Column, needles: Sequence[str], pattern: str, by: str) -> Column:
     """``regexp_replace``, skipped for texts that contain none of ``needles``.
 
     A plain substring search is many times cheaper than a regular expression.
-    The one-element ``transform`` binds the input to a name, so a long chain of
-    such steps evaluates each of its steps once.
     """
 
     def step(x):
         wanted = reduce(or_, [F.contains(x, F.lit(n)) for n in needles])
         return F.when(wanted, F.regexp_replace(x, pattern, by)).otherwise(x)
 
-    return F.element_at(F.transform(F.array(c), step), 1)
+    return bind(c, step)
 
 
 def is_blank(c: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
@@ -19,25 +19,27 @@ _SLICE_ROWS = 50_000
 _HITS = "query_id long, vec_id long, score double"
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(query_ids, queries: np.ndarray, ids, vectors, k: int) -> pd.DataFrame:
-    """The k best hits of each query among these vectors, as rows."""
-    ids = np.asarray(ids)
-    scores = np.round(queries @ _unit_rows(vectors).T, DECIMALS) + 0.0
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of equal length, from an Arrow list column, as unit rows."""
+    rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(rows.reshape(len(lists), -1))
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> dict:
+    """The k best hits of each query among these vectors, as columns."""
+    scores = np.round(queries @ vectors.T, DECIMALS) + 0.0
     keep = min(k, len(ids))
     order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :keep]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.asarray(query_ids), keep),
-            "vec_id": ids[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        }
-    )
+    return {
+        "query_id": np.repeat(query_ids, keep),
+        "vec_id": ids[order].ravel(),
+        "score": np.take_along_axis(scores, order, axis=1).ravel(),
+    }
 
 
 def semantic_topk(
@@ -56,27 +58,33 @@ def semantic_topk(
     reach the shuffle.  A larger set is cut into blocks and the vectors into
     slices, and each (block, slice) is one bounded co-group.
     """
-    head = queries.limit(max_queries + 1).select("query_id", "query_vec").toPandas()
-    if head.empty:
+    known = vectors.where("embedding is not null").select("vec_id", "embedding")
+    asked = queries.where("query_vec is not null").select("query_id", "query_vec")
+    head = asked.limit(max_queries + 1).toArrow().combine_chunks()
+    if head.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], _HITS + ", rank int")
-    if len(head) <= max_queries:
-        query_ids, matrix = head["query_id"].to_numpy(), _unit_rows(head["query_vec"])
+    if head.num_rows <= max_queries:
+        query_ids = head["query_id"].to_numpy()
+        matrix = np.concatenate([_matrix(chunk) for chunk in head["query_vec"].chunks])
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    yield _best(query_ids, matrix, batch["vec_id"], batch["embedding"], k)
+                if batch.num_rows:
+                    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+                    hits = _best(query_ids, matrix, ids, _matrix(batch.column("embedding")), k)
+                    yield pa.RecordBatch.from_pydict(hits)
 
-        hits = vectors.select("vec_id", "embedding").mapInPandas(scan, _HITS)
+        hits = known.mapInArrow(scan, _HITS)
     else:
-        hits = _blocked_hits(vectors, queries, k, max_queries, slice_rows)
+        hits = _blocked_hits(known, asked, k, max_queries, slice_rows)
     ranking = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)
 
 
 def _blocked_hits(vectors, queries, k, max_queries, slice_rows) -> DataFrame:
-    blocks = max(1, math.ceil(queries.count() / max_queries))
-    slices = max(1, math.ceil(vectors.count() / slice_rows))
+    # Half-full on average, so that hashing does not overfill a cell.
+    blocks = max(1, math.ceil(2 * queries.count() / max_queries))
+    slices = max(1, math.ceil(2 * vectors.count() / slice_rows))
 
     def cell(own, other_count, own_count, name):
         """Own side hashed into its cells, copied to each cell of the other side."""
@@ -88,13 +96,14 @@ def _blocked_hits(vectors, queries, k, max_queries, slice_rows) -> DataFrame:
     left = queries.select("query_id", "query_vec", *cell("query_id", slices, blocks, "query"))
     right = vectors.select("vec_id", "embedding", *cell("vec_id", blocks, slices, "vector"))
 
-    def match(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or v.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(q["query_id"], _unit_rows(q["query_vec"]), v["vec_id"], v["embedding"], k)
+    def match(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return pa.table({"query_id": np.empty(0, int), "vec_id": np.empty(0, int), "score": np.empty(0)})
+        sides = [np.concatenate([_matrix(c) for c in t[name].chunks]) for t, name in ((q, "query_vec"), (v, "embedding"))]
+        return pa.table(_best(q["query_id"].to_numpy(), sides[0], v["vec_id"].to_numpy(), sides[1], k))
 
     grouped = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    return grouped.applyInPandas(match, _HITS)
+    return grouped.applyInArrow(match, _HITS)
 
 
 def pair_cosine(pairs: DataFrame, vectors: DataFrame, decimals: int = 4) -> DataFrame:

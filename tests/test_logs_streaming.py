@@ -149,7 +149,7 @@ def test_plan(spark, sf, name):
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in NEEDS_PYTHON:
-        assert "EvalPython" not in plan and "InPandas" not in plan
+        assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
 
 
 def test_cleaning_runs_once(spark, sf):
