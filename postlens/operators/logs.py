@@ -122,7 +122,8 @@ def job_state(
 ) -> DataFrame:
     """Latest state of each job from its event log.
 
-    ``carry`` names further columns taken from the latest event.
+    ``carry`` names further columns taken from the latest event, such as an
+    error text, an output path or a map of metrics.
     """
     ended = F.col("status").isin(fixed.JOB_COMPLETED, fixed.JOB_FAILED)
     latest = F.max_by(F.struct("status", *carry), F.struct(ts_col, seq_col))
@@ -130,6 +131,7 @@ def job_state(
         latest.alias("_last"),
         F.min(ts_col).alias("created_at"),
         F.max(ts_col).alias("updated_at"),
+        F.max(F.when(F.col("status") == fixed.JOB_RUNNING, F.col(ts_col))).alias("started_at"),
         F.max(F.when(ended, F.col(ts_col))).alias("_ended"),
     )
     done = F.col("_last.status").isin(fixed.JOB_COMPLETED, fixed.JOB_FAILED)
@@ -137,6 +139,7 @@ def job_state(
         job_col,
         "_last.*",
         "created_at",
+        "started_at",
         "updated_at",
         F.when(done, F.col("_ended")).alias("completed_at"),
     )

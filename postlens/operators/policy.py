@@ -16,14 +16,18 @@ DEFAULTS = {
 
 
 def policy_table(spark, overrides: list[tuple]) -> DataFrame:
-    """Policy overrides from (tenant, spam, phishing, confidence, model) tuples."""
-    return spark.createDataFrame(overrides, schemas.POLICY)
+    """Policy overrides from (tenant, spam, phishing, confidence, model) tuples.
+
+    The last one given for a tenant counts.
+    """
+    return spark.createDataFrame(list({row[0]: row for row in overrides}.values()), schemas.POLICY)
 
 
 def resolve_policy(df: DataFrame, overrides: DataFrame | None, defaults: dict | None = None) -> DataFrame:
     """Add the effective policy of ``tenant_id`` to every row.
 
-    An override field counts only if it is positive or non-empty.
+    ``overrides`` has one row per tenant; a field of it counts only if it is
+    positive or non-empty.
     """
     base = {**DEFAULTS, **(defaults or {})}
     if overrides is None:

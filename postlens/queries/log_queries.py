@@ -91,8 +91,8 @@ JOBS = """job AS (
       WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END AS status
   FROM events),
 last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM job),
-ends AS (SELECT job_id, min(ts) AS c, max(ts) AS u, max(ts) FILTER (status IN ('completed', 'failed')) AS d FROM job GROUP BY job_id),
-state AS (SELECT last.job_id, status, tenant_id, floor(epoch(c))::BIGINT AS created_at, floor(epoch(u))::BIGINT AS updated_at,
+ends AS (SELECT job_id, min(ts) AS c, max(ts) AS u, max(ts) FILTER (status = 'running') AS b, max(ts) FILTER (status IN ('completed', 'failed')) AS d FROM job GROUP BY job_id),
+state AS (SELECT last.job_id, status, tenant_id, floor(epoch(c))::BIGINT AS created_at, floor(epoch(b))::BIGINT AS started_at, floor(epoch(u))::BIGINT AS updated_at,
     CASE WHEN status IN ('completed', 'failed') THEN floor(epoch(d))::BIGINT END AS completed_at
   FROM last JOIN ends USING (job_id) WHERE rn = 1)"""
 
@@ -124,7 +124,7 @@ def _times(df, *columns):
 
 def _states(spark, sf):
     state = logs.job_state(job_events(table(spark, sf, "events")), carry=("tenant_id",))
-    return _times(state, "created_at", "updated_at", "completed_at")
+    return _times(state, "created_at", "started_at", "updated_at", "completed_at")
 
 
 @query("job_state", f"WITH {JOBS} SELECT * FROM state")

@@ -242,7 +242,7 @@ def _cos_sql(a, z):
     f"""WITH d AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
     m AS (SELECT label, i, avg(x) AS x FROM d GROUP BY label, i),
     q AS (SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS v FROM m GROUP BY label),
-    s AS (SELECT query_id, vec_id, round({_cos_sql('v', 'embedding')}, 6) AS score FROM q, embeddings),
+    s AS (SELECT query_id, vec_id, round({_cos_sql('v', 'embedding')}, 6) + 0::DOUBLE AS score FROM q, embeddings),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, score, rank::INT AS rank FROM k WHERE rank <= 5""",
 )
@@ -254,7 +254,7 @@ def semantic_topk(spark, sf):
 
 @query(
     "pair_cosine",
-    f"""SELECT l.vec_id AS left_id, r.vec_id AS right_id, round({_cos_sql('l.embedding', 'r.embedding')}, 4) AS cosine
+    f"""SELECT l.vec_id AS left_id, r.vec_id AS right_id, round({_cos_sql('l.embedding', 'r.embedding')}, 4) + 0::DOUBLE AS cosine
     FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1""",
 )
 def pair_cosine(spark, sf):

@@ -23,9 +23,10 @@ def _masked(x):
 
 
 def _unescaped(x):
-    # The entities that occur in the tables; the ampersand last, so nothing is decoded twice.
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+    # The entities that occur in the tables, some cut off before their semicolon;
+    # the ampersand last, so nothing is decoded twice.
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{char}', 'g')"
     return x
 
 

@@ -174,6 +174,8 @@ def test_policy_defaults_and_overrides(spark):
     assert got["own"]["spam_threshold"] == 0.6 and got["own"]["preferred_model"] == fixed.FALLBACK_MODEL
     assert got["low"]["spam_threshold"] == 0.1 and got["low"]["phishing_threshold"] == 0.75
     assert resolve_policy(df, None).first()["min_confidence"] == 0.86
+    twice = policy_table(spark, [*OVERRIDES, ("low", 0.2, 0.0, 0.0, "")])
+    assert resolve_policy(df.where("tenant_id = 'low'"), twice).collect()[0]["spam_threshold"] == 0.2
 
 
 def test_large_policy_is_not_broadcast(spark, monkeypatch):
