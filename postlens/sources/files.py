@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .. import fixed, schemas
 from ..functions.labels import guess_column, normalize_label
 from ..functions.text import strip_space
-from ..session import MAX_BROADCAST_ROWS
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = schemas.MESSAGE) -> DataFrame:
@@ -55,6 +54,7 @@ def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
 
 # ---- CSV ---------------------------------------------------------------------------
 
+_MAX_HEADERS = 1000
 _CSV = {
     "header": True,
     "quote": '"',
@@ -83,7 +83,10 @@ def _headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
     first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
     files = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     # Spark lists every input file on the driver as well; no rows come along.
-    return {r["header"].lstrip("\ufeff"): r["files"] for r in files.limit(MAX_BROADCAST_ROWS).collect()}
+    found = files.limit(_MAX_HEADERS + 1).collect()
+    if len(found) > _MAX_HEADERS:
+        raise ValueError(f"more than {_MAX_HEADERS} different CSV headers under {root}")
+    return {r["header"]: r["files"] for r in found}
 
 
 def read_csv_corpus(spark: SparkSession, root: str, source: str, *, multi_line: bool = True) -> DataFrame:
