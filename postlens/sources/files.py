@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -86,7 +89,20 @@ def _headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
     found = files.limit(_MAX_HEADERS + 1).collect()
     if len(found) > _MAX_HEADERS:
         raise ValueError(f"more than {_MAX_HEADERS} different CSV headers under {root}")
-    return {r["header"]: r["files"] for r in found}
+    return {r["header"]: [_literal_path(f) for f in r["files"]] for r in found}
+
+
+def _column_names(header: str) -> list[str]:
+    """Names in a header line; a name that is empty or repeated gets its position."""
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        names.append(name if name and name.lower() not in {n.lower() for n in names} else f"{name}_{i}")
+    return names
+
+
+def _literal_path(uri: str) -> str:
+    """A path for a reader from a file URI: decoded, glob characters escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def read_csv_corpus(spark: SparkSession, root: str, source: str, *, multi_line: bool = True) -> DataFrame:
@@ -99,8 +115,9 @@ def read_csv_corpus(spark: SparkSession, root: str, source: str, *, multi_line:
     """
     parts = []
     for header, files in sorted(_headers(spark, root).items()):
-        df = spark.read.options(**_CSV, multiLine=multi_line).csv(files)
-        columns = df.columns
+        columns = _column_names(header)
+        schema = StructType([StructField(c, StringType()) for c in columns])
+        df = spark.read.schema(schema).options(**_CSV, multiLine=multi_line).csv(files)
         text_col = guess_column(columns, fixed.TEXT_COLUMN_CANDIDATES)
         label_col = guess_column(columns, fixed.LABEL_COLUMN_CANDIDATES)
         if text_col is not None and label_col is not None:

@@ -186,10 +186,11 @@ def test_csv_corpus(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "a.csv").write_text('text,label\n"two\nlines, ""quoted""",spam\n  ,ham\nkept,0.2\n')
     (tmp_path / "deep" / "b.csv").write_text("id,Message_Body,is_spam\n1,from b,yes\n2,unknown,maybe\n")
+    (tmp_path / "odd name [1] 5%.csv").write_text("text,label\nodd name,1\n")
     (tmp_path / "deep" / "c.csv").write_text("x,y\n1,2\n")
     (tmp_path / "deep" / "d.txt").write_text("text,label\nno,spam\n")
     rows = sorted(tuple(r) for r in files.read_csv_corpus(spark, str(tmp_path), "csv/x").collect())
-    assert rows == [("from b", 1, "csv/x"), ("kept", 0, "csv/x"), ('two\nlines, "quoted"', 1, "csv/x")]
+    assert rows == [("from b", 1, "csv/x"), ("kept", 0, "csv/x"), ("odd name", 1, "csv/x"), ('two\nlines, "quoted"', 1, "csv/x")]
 
 
 def test_adapters(spark):
