@@ -6,8 +6,9 @@ each other under one hash make one segment, and shards of segments are dealt by
 that hash: every pair of equal strings meets in one shard, no text does.
 
 Before that, equal segments become one: their strings all repeat.  A hash with
-one segment has nothing else to offer.  What is left, hashes with different
-segments, goes to the shards, whose suffixes are sorted by external induced
+one segment, in which it stands once, has nothing else to offer.  What is left,
+hashes with different segments or one that may repeat in itself, goes to the
+shards, whose suffixes are sorted by external induced
 sorting; neighbours that share ``length`` bytes repeat.  Each different text is
 represented once, under its MD5.
 """
@@ -36,11 +37,11 @@ _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _STEP = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, end of starts) of the segments of a text."""
+def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+    """(hash, first start, end of starts, whether the hash stands there twice) of the segments of a text."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3
+        return (*(np.zeros(0, np.int64),) * 3, [])
     h = _BYTE[np.frombuffer(data, np.uint8)]
     size, level = 1, 0
     while size < GRAM:
@@ -49,6 +50,7 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    each = h
     span, size = length - GRAM + 1, 1
     while 2 * size <= span:
         h = np.minimum(h[:-size], h[size:])
@@ -56,26 +58,28 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if span > size:
         h = np.minimum(h[: len(h) - (span - size)], h[span - size :])
     cut = np.flatnonzero(h[1:] != h[:-1]) + 1
-    first = np.concatenate([[0], cut])
-    return h[first].view(np.int64), first, np.append(cut, len(h))
+    first, end, m = np.concatenate([[0], cut]), np.append(cut, len(h)), h[np.concatenate([[0], cut])]
+    twice = [np.count_nonzero(each[a : b - 1 + span] == x) > 1 for a, b, x in zip(first.tolist(), end.tolist(), m)]
+    return m.view(np.int64), first, end, twice
 
 
 def segment_rows(texts: DataFrame, length: int) -> DataFrame:
-    """key (MD5), m (hash), h (content), first, last (starts, both included), a row per segment of ``texts``: text."""
+    """key (MD5), m (hash), h (content), first, last (starts, both included), twice, a row per segment of ``texts``: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, ms, hs, firsts, lasts = [], [], [], [], []
+                keys, ms, hs, firsts, lasts, twices = [], [], [], [], [], []
                 for data in batch.column(0).slice(at, 256).to_pylist():
                     data = data.encode("utf-8")
-                    m, first, end = segments(data, length)
+                    m, first, end, twice = segments(data, length)
                     if not len(m):
                         continue
                     keys += [hashlib.md5(data).digest()] * len(m)
                     ms.append(m)
                     firsts.append(first)
                     lasts.append(end - 1)
+                    twices += twice
                     view = memoryview(data)
                     hs += [
                         xxhash.xxh3_128_digest(view[a : b + length - 1]) for a, b in zip(first.tolist(), end.tolist())
@@ -88,11 +92,12 @@ def segment_rows(texts: DataFrame, length: int) -> DataFrame:
                             pa.array(hs, pa.binary()),
                             pa.array(np.concatenate(firsts).astype(np.int64)),
                             pa.array(np.concatenate(lasts).astype(np.int64)),
+                            pa.array(twices, pa.bool_()),
                         ],
-                        names=["key", "m", "h", "first", "last"],
+                        names=["key", "m", "h", "first", "last", "twice"],
                     )
 
-    return texts.select("text").mapInArrow(run, "key binary, m long, h binary, first long, last long")
+    return texts.select("text").mapInArrow(run, "key binary, m long, h binary, first long, last long, twice boolean")
 
 
 def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -153,16 +158,18 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """key (MD5 of the text), start, end: bytes of ``texts`` (text, not null) covered by repeated strings."""
     rows = segment_rows(texts, length)
-    places = materialize(rows.groupBy("m", "h", "key", "first", "last").agg(F.count("*").alias("n")), "segments")
+    places = materialize(rows.groupBy("m", "h", "key", "first", "last", "twice").agg(F.count("*").alias("n")), "segments")
     contents = materialize(
         places.groupBy("m", "h").agg(
-            F.sum("n").alias("n"), F.min(F.struct("key", "first", "last")).alias("one")
+            F.sum("n").alias("n"), F.min(F.struct("key", "first", "last", "twice")).alias("one")
         ),
         "segment-contents",
     )
     size = F.col("one.last") - F.col("one.first") + length + 1
     groups = materialize(
-        contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes")).where("kinds > 1"),
+        contents.groupBy("m")
+        .agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes"), F.max(F.col("one.twice") & (F.col("n") == 1)).alias("twice"))
+        .where("kinds > 1 OR twice"),
         "segment-groups",
     )
     total = groups.agg(F.sum("bytes")).first()[0] or 0
