@@ -63,7 +63,7 @@ def map_rows(
     narrow = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].cast("string").alias("t"))
     kept = ", ".join(f"k{i} {narrow.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     types = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double", pa.int32(): "int"}
-    made = ", ".join(f"v{i} {types.get(kind) or 'array<int>'}" for i, (_, kind) in enumerate(fields))
+    made = ", ".join(f"v{i} {types.get(kind, 'array<int>')}" for i, (_, kind) in enumerate(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = work()

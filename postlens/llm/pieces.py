@@ -255,3 +255,27 @@ def round_trip(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
 
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded_bytes", pa.int64())]
     return map_rows(df, [doc_id], text, fields, work)
+
+
+def encode_rows(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` as its ids decode, and ids (array of int, end id last) and n_tokens."""
+    encoder = load(df, model)
+    keep = [c for c in df.columns if c not in (text, "ids", "n_tokens")]
+
+    def work():
+        enc = encoder()
+        end = str(enc.model.end)
+
+        def rows(texts):
+            out = []
+            for t in texts:
+                ids = enc.encode(t)
+                ids = f"{ids} {end}" if ids else end
+                numbers = list(map(int, ids.split(" ")))
+                out.append((enc.decode(ids), numbers, len(numbers)))
+            return out
+
+        return rows
+
+    fields = [(text, pa.string()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())]
+    return map_rows(df, keep, text, fields, work)

@@ -191,5 +191,6 @@ def quality_report(df: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that no rule rejects, with the columns of ``df``."""
-    columns = df.columns
-    return quality_report(df.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text")), "_text").where("kept").select("_row.*")
+    judged = quality_report(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text")), "_text")
+    # a filter is not pushed below a generator, so the rules are not worked out once more inside it
+    return judged.select("_row", F.explode(F.array("kept")).alias("_kept")).where("_kept").select("_row.*")

@@ -234,3 +234,17 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
         removed.alias("n_removed"),
         F.size("runs").cast("long").alias("n_spans"),
     )
+
+
+def drop_repeats(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the repeated strings cut out of ``text``; a character cut in half goes whole.
+
+    Rows stay, with an empty text if nothing is left; null stays null.
+    """
+
+    def decode(kept: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+
+    found = without_repeats(df, text)
+    left = F.when(F.col(text).isNotNull(), F.arrow_udf(decode, "string")("kept"))
+    return found.select(*[left.alias(c) if c == text else F.col(c) for c in df.columns])
