@@ -33,6 +33,10 @@ from .common import Memo, map_rows
 BLANK = "▁"
 #: What the unknown piece decodes to; fixed.
 UNKNOWN = " \u2047 "
+#: Stands for the unknown piece until a leading blank is off.
+_UNKNOWN = "\ud800"
+#: Stands for a piece without a text, which ends a run of bytes.
+_NOTHING = "\ud801"
 #: Pairs of pieces that one worker remembers.
 MEMO_PAIRS = 400_000
 
@@ -49,7 +53,7 @@ class PieceModel:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.ids = {sp.id_to_piece(i): i for i in range(n) if i not in odd and not sp.is_byte(i)}
         self.scores = {piece: sp.get_score(i) for piece, i in self.ids.items()}
-        self.control = {i: UNKNOWN if sp.is_unknown(i) else "" for i in odd}
+        self.control = {i: _UNKNOWN if sp.is_unknown(i) else _NOTHING for i in odd}
         self.end = sp.eos_id()
         if len(self.bytes) != 256 or any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a model with byte pieces and blanks only in front of pieces is needed")
@@ -186,12 +190,15 @@ class Encoder:
         if not ids:
             return ""
         text = "".join(map(self.table.__getitem__, ids.split(" ")))
+        text = _LEAD.sub("", text, count=1)
         if _WAITING.search(text):
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace_each")
-        return text[1:] if text[:1] == " " else text
+            text = _WAITING.sub(lambda m: m[0].encode("utf-8", "surrogateescape").decode("utf-8", "replace_each"), text)
+        return text.replace(_NOTHING, "").replace(_UNKNOWN, UNKNOWN)
 
 
-_WAITING = re.compile("[\udc80-\udcff]")
+#: The blank in front of the first piece that has a text.
+_LEAD = re.compile("^\ud801* ")
+_WAITING = re.compile("[\udc80-\udcff]+")
 
 
 def load(spark_df: DataFrame, path: str) -> Callable[[], Encoder]:

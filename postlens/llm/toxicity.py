@@ -43,11 +43,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 1 << 20
 #: Nats from which and up to which a word's ratio counts.
 MARGIN, CEILING = 1.0, 4.0
-#: Letters' worth of shared backoff in every context.
-STRENGTH = 300.0
+#: Letters' worth of shared backoff in every context, per root of the letters of the smaller class.
+STRENGTH = 0.26
 #: The curve is fitted on the logarithm of mean + FLOOR, in bins of this width.
 FLOOR, BIN = 1e-3, 0.05
 THRESHOLD = 0.7
+#: A toxic text weighs so much more than an ordinary one when the curve is fitted.
+MISSED = 2.0
 
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -94,6 +96,7 @@ class Counts:
     def __init__(self, gram, total, types, low, low_total, low_types, letter):
         self.gram, self.total, self.types = gram, total, types
         self.low, self.low_total, self.low_types, self.letter = low, low_total, low_types, letter
+        self.letters = gram.sum(axis=0, dtype=np.float64)
 
     def ratio(self, words: list[str], parts: tuple[int, ...] = (0, 1)) -> np.ndarray:
         """Per word: log-likelihood as toxic less that as ordinary, by the given halves of the counts."""
@@ -111,12 +114,14 @@ class Counts:
         n = t[:, chosen].sum(axis=1)
         pooled = (np.maximum(c[:, chosen].sum(axis=1) - DISCOUNT, 0) + DISCOUNT * k[:, 4] * back) / np.maximum(n, 1e-9)
         pooled = np.where(n > 0, np.maximum(pooled, 1e-12), back)
+        sizes = [self.letters[[2 * label + p for p in parts]].sum() for label in (0, 1)]
+        strength = 1 + STRENGTH * min(sizes) ** 0.5
         logs = []
         for label in (0, 1):
             own = [2 * label + p for p in parts]
             kinds = k[:, own].max(axis=1)
-            p = np.maximum(c[:, own].sum(axis=1) - DISCOUNT, 0) + (DISCOUNT * kinds + STRENGTH) * pooled
-            logs.append(np.log(p / (t[:, own].sum(axis=1) + STRENGTH)))
+            p = np.maximum(c[:, own].sum(axis=1) - DISCOUNT, 0) + (DISCOUNT * kinds + strength) * pooled
+            logs.append(np.log(p / (t[:, own].sum(axis=1) + strength)))
         inner = np.r_[False, g["owner"][1:] == g["owner"][:-1]]
         return np.bincount(g["owner"], weights=(logs[1] - logs[0]) * inner, minlength=len(words))
 
@@ -228,22 +233,35 @@ def ratios(df: DataFrame, counts, parts: tuple[int, ...], keep: list[str], text:
 
 
 def fit_curve(binned: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a x + b))) from rows (x, ordinary, toxic); ridge on a."""
+    """(a, b) of 1 / (1 + exp(-(a x + b))) from rows (x, ordinary, toxic), by damped Newton steps; a >= 0."""
     x, no, yes = binned.T
     if no.sum() == 0 or yes.sum() == 0:
         return 0.0, -3.0
-    no, yes = no / (no.sum() + yes.sum()), yes / (no.sum() + yes.sum())
-    a, b = 1.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    yes = MISSED * yes
+    total = no.sum() + yes.sum()
+    no, yes = no / total, yes / total
+    middle = ((no + yes) * x).sum()
+    x = x - middle
+
+    def loss(a, b):
+        z = a * x + b
+        return (yes * np.logaddexp(0, -z) + no * np.logaddexp(0, z)).sum() + 5e-6 * a * a
+
+    a, b = 0.0, float(np.log(yes.sum() / no.sum()))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(a * x + b)))
         w = (no + yes) * p * (1 - p)
         grad = np.array([((yes - (no + yes) * p) * x).sum() - 1e-5 * a, (yes - (no + yes) * p).sum()])
         hess = np.array([[(w * x * x).sum() + 1e-5, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
-        step = np.clip(np.linalg.solve(hess, grad), -5, 5)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(a + size * step[0], b + size * step[1]) > loss(a, b):
+            size /= 2
+        a, b = a + size * step[0], b + size * step[1]
+        if np.abs(size * step).max() < 1e-7:
             break
-    return float(a), float(b)
+    if a < 0:  # the ratio tells nothing
+        return 0.0, float(np.log(yes.sum() / no.sum()))
+    return float(a), float(b - a * middle)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
