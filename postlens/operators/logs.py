@@ -63,14 +63,17 @@ def admit_requests(
 
     Checks run in order: tenant header, quota (``allowed_col`` of
     :func:`rate_limit`), body size and JSON form, payload tenant, tenant match.
+    A payload tenant that is neither a JSON string nor null is bad JSON.
     """
     header = trim_space(F.coalesce(F.col(header_col), F.lit("")))
     body = F.col(body_col)
     parsed = df.withColumn(
         "_doc", F.from_json(body, "tenant_id string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     )
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.tenant_id", "variant"))
     broken = (
-        (F.octet_length(body) > max_bytes)
+        ~F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID")
+        | (F.octet_length(body) > max_bytes)
         | F.col("_doc").isNull()
         | F.col("_doc._bad").isNotNull()
         | (trim_space(body) == "")
@@ -87,6 +90,25 @@ def admit_requests(
     return parsed.withColumns({"tenant_id": tenant, "reject_reason": reason}).drop("_doc")
 
 
+def admit(
+    df: DataFrame,
+    *,
+    header_col: str = "tenant_header",
+    body_col: str = "body",
+    ts_col: str = "ts",
+    id_col: str = "request_id",
+    window_seconds: int = 60,
+    max_requests: int = fixed.RATE_LIMIT_PER_MINUTE,
+    max_bytes: int = fixed.MAX_REQUEST_BYTES,
+) -> DataFrame:
+    """Quota and payload checks in one: the quota counts trimmed headers."""
+    named = df.withColumn(header_col, trim_space(F.coalesce(F.col(header_col), F.lit(""))))
+    counted = rate_limit(
+        named, tenant_col=header_col, ts_col=ts_col, id_col=id_col, window_seconds=window_seconds, max_requests=max_requests
+    )
+    return admit_requests(counted, header_col=header_col, body_col=body_col, allowed_col="allowed", max_bytes=max_bytes)
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
@@ -146,12 +168,24 @@ def job_state(
 
 
 def feedback_labels(
-    feedback: DataFrame, inference: DataFrame, corrections: dict[str, int] | None = None
+    feedback: DataFrame,
+    inference: DataFrame,
+    corrections: dict[str, int] | None = None,
+    *,
+    order_col: str | None = None,
+    task_col: str | None = None,
 ) -> DataFrame:
     """Feedback joined to what was predicted, as corrected labels.
 
     Both sides carry (tenant_id, message_id); the inference side a ``label``.
+    With ``order_col`` only the latest inference of a message counts (of a
+    message and task, with ``task_col``), so retries do not multiply feedback.
     """
+    if order_col is not None:
+        key = ["tenant_id", "message_id", *([task_col] if task_col else [])]
+        rest = [c for c in inference.columns if c not in key]
+        latest = inference.groupBy(*key).agg(F.max_by(F.struct(*rest), order_col).alias("_last"))
+        inference = latest.select(*key, "_last.*")
     joined = feedback.join(inference, ["tenant_id", "message_id"])
     if corrections is None:
         return joined

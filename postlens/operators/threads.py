@@ -8,6 +8,9 @@ from .. import fixed
 from ..functions import scoring
 from ..functions.text import as_text, trim_space, truncate_chars
 
+#: Stands for the rest of a turn that was cut.
+_CUT = "x"
+
 
 def thread_summaries(
     turns: DataFrame, *, thread_col: str = "conv_id", order_col: str = "turn", text_col: str = "text"
@@ -16,19 +19,27 @@ def thread_summaries(
 
     Only the start of a thread reaches its summary.  Every turn adds at least
     two bytes (itself and the separator), so the first ``SUMMARY_MAX_BYTES``
-    turns, and as many characters of each plus one, decide the result.  The turn
-    limit is a window group limit that runs before the shuffle, so a thread of
-    any length sends at most that many short rows per task.
+    turns, and as many characters of each plus one, decide the result.  A turn
+    that is cut ends in a mark that is not blank and lies beyond what a summary
+    shows, so blanks before the cut are not trimmed and the thread counts as too
+    long.  The turn limit is a window group limit that runs before the shuffle,
+    so a thread of any length sends at most that many short rows per task.
+    A thread of blank turns has the summary "".
     """
     need = fixed.SUMMARY_MAX_BYTES + 1
-    lines = turns.select(
+    whole = turns.select(
+        thread_col, F.col(order_col).alias("_turn"), trim_space(as_text(F.col(text_col))).alias("_whole")
+    )
+    lines = whole.select(
         thread_col,
-        F.col(order_col).alias("_turn"),
-        truncate_chars(trim_space(as_text(F.col(text_col))), need).alias("_line"),
-    ).where("_line != ''")
-    by_turn = Window.partitionBy(thread_col).orderBy("_turn")
+        "_turn",
+        F.when(F.char_length("_whole") > need, F.concat(truncate_chars(F.col("_whole"), need), F.lit(_CUT)))
+        .otherwise(F.col("_whole"))
+        .alias("_line"),
+    )
+    by_turn = Window.partitionBy(thread_col).orderBy(F.col("_line") == "", "_turn")
     early = lines.withColumn("_rank", F.row_number().over(by_turn)).where(F.col("_rank") <= need)
-    rows = F.array_sort(F.collect_list(F.struct("_turn", "_line")))
+    rows = F.array_sort(F.collect_list(F.when(F.col("_line") != "", F.struct("_turn", "_line"))))
     thread = F.array_join(F.transform(rows, lambda r: r["_line"]), "\n")
     grouped = early.groupBy(thread_col).agg(thread.alias("_thread"))
     return grouped.select(thread_col, scoring.summarize(F.col("_thread")).alias("summary"))

@@ -118,7 +118,7 @@ def train_text_model(
     pos_weight = m.class_weights(train, label_col).first()["pos_weight"]
     weighted = train.withColumn("weight", F.when(F.col(label_col) == 1, F.lit(pos_weight)).otherwise(1.0))
     stages = [
-        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"(?U)\W+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=cfg.features),
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(

@@ -131,13 +131,23 @@ def thread_pairs(spark, sf):
 
 @query(
     "thread_summary",
-    f"""WITH l AS (SELECT conv_id, turn, {_TRIM.format("text")} AS x FROM conversations),
-    j AS (SELECT conv_id, trim(replace(string_agg(x, chr(10) ORDER BY turn), chr(10), ' ')) AS s
-      FROM l WHERE x <> '' GROUP BY conv_id)
+    f"""WITH c AS (SELECT conv_id, turn, text FROM conversations
+      UNION ALL SELECT conv_id + 1000000000000, turn, 'hi' || repeat(' ', 400) || text FROM conversations
+      UNION ALL SELECT conv_id + 2000000000000, turn, 'hi' || repeat(chr(10), 150) || text FROM conversations
+      UNION ALL SELECT conv_id + 3000000000000, turn, repeat(' ', 9) FROM conversations),
+    l AS (SELECT conv_id, turn, {_TRIM.format("text")} AS x FROM c),
+    j AS (SELECT conv_id, coalesce(trim(replace(string_agg(x, chr(10) ORDER BY turn) FILTER (x <> ''), chr(10), ' ')), '') AS s
+      FROM l GROUP BY conv_id)
     SELECT conv_id, CASE WHEN strlen(s) <= 180 THEN s ELSE {b.sql_cut('s', 177)} || '...' END AS summary FROM j""",
 )
 def thread_summary(spark, sf):
-    return threads.thread_summaries(table(spark, sf, "conversations"))
+    """Threads as they are, with long runs of blanks or line feeds in each turn, and with blank turns only."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    variants = [(0, F.col("text"))]
+    variants += [(10**12, F.concat(F.lit("hi" + " " * 400), "text")), (2 * 10**12, F.concat(F.lit("hi" + "\n" * 150), "text"))]
+    variants += [(3 * 10**12, F.lit(" " * 9))]
+    each = F.explode(F.array(*[F.struct((F.col("conv_id") + n).alias("conv_id"), "turn", t.alias("text")) for n, t in variants]))
+    return threads.thread_summaries(turns.select(each.alias("t")).select("t.*"))
 
 
 # ---- files ------------------------------------------------------------------------------

@@ -16,15 +16,16 @@ from .text_queries import RESPONSE_SQL, flat_response
 # ---- admission ---------------------------------------------------------------------------
 
 RAW_REQ = """raw AS (
-  SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 16 = 0 THEN '  ' ELSE 't' || (user_id % 7)::VARCHAR END AS header,
+  SELECT event_id, ts, user_id, event_type, CASE event_id % 16 WHEN 0 THEN '  ' WHEN 5 THEN ' t' || (user_id % 7)::VARCHAR || ' ' ELSE 't' || (user_id % 7)::VARCHAR END AS header,
     CASE event_id % 16 WHEN 1 THEN '{"tenant_id": ' WHEN 2 THEN '{"tenant_id":" ","input":{}}'
       WHEN 3 THEN '{"tenant_id":"other","input":{}}' WHEN 4 THEN '{"tenant_id":"' || repeat('x', 300) || '"}'
+      WHEN 6 THEN '{"tenant_id":' || (user_id % 7)::VARCHAR || '}' WHEN 7 THEN '{"tenant_id":{"a":1}}' WHEN 8 THEN '{"tenant_id":null}'
       ELSE '{"tenant_id":"t' || (user_id % 7)::VARCHAR || '","input":' || props || '}' END AS body FROM events),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY header, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM raw),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trim(header), date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM raw),
 adm AS (SELECT *, CASE WHEN trim(header) = '' THEN 'errors_missing_tenant' WHEN NOT allowed THEN 'rate_limited'
-    WHEN strlen(body) > 256 OR NOT json_valid(body) THEN 'errors_bad_json'
-    WHEN trim(json_extract_string(body, '$.tenant_id')) = '' THEN 'errors_missing_payload_tenant'
-    WHEN json_extract_string(body, '$.tenant_id') <> header THEN 'errors_tenant_mismatch' END AS reject_reason FROM ranked)"""
+    WHEN strlen(body) > 256 OR NOT json_valid(body) OR json_type(body, '$.tenant_id') NOT IN ('VARCHAR', 'NULL') THEN 'errors_bad_json'
+    WHEN trim(coalesce(json_extract_string(body, '$.tenant_id'), '')) = '' THEN 'errors_missing_payload_tenant'
+    WHEN json_extract_string(body, '$.tenant_id') <> trim(header) THEN 'errors_tenant_mismatch' END AS reject_reason FROM ranked)"""
 
 
 def _admitted(spark, sf):
@@ -36,16 +37,21 @@ def _admitted(spark, sf):
         .when(kind == 2, '{"tenant_id":" ","input":{}}')
         .when(kind == 3, '{"tenant_id":"other","input":{}}')
         .when(kind == 4, '{"tenant_id":"' + "x" * 300 + '"}')
+        .when(kind == 6, F.concat(F.lit('{"tenant_id":'), F.substring("tenant_id", 2, 9), F.lit("}")))
+        .when(kind == 7, '{"tenant_id":{"a":1}}')
+        .when(kind == 8, '{"tenant_id":null}')
         .otherwise(whole)
     )
     raw = log.select(
         "event_id",
         "ts",
-        F.when(kind == 0, "  ").otherwise(F.col("tenant_id")).alias("tenant_header"),
+        F.when(kind == 0, "  ")
+        .when(kind == 5, F.concat(F.lit(" "), "tenant_id", F.lit(" ")))
+        .otherwise(F.col("tenant_id"))
+        .alias("tenant_header"),
         body.alias("body"),
     )
-    limited = logs.rate_limit(raw, tenant_col="tenant_header", id_col="event_id", window_seconds=3600, max_requests=2)
-    return logs.admit_requests(limited, allowed_col="allowed", max_bytes=256)
+    return logs.admit(raw, id_col="event_id", window_seconds=3600, max_requests=2, max_bytes=256)
 
 
 @query("admit_requests", f"WITH {RAW_REQ} SELECT event_id, reject_reason FROM adm")
@@ -74,6 +80,26 @@ def rate_limit(spark, sf):
     )
 
 
+@query(
+    "rate_limit_default",
+    """WITH d AS (SELECT event_id, 't' || (event_id % 2)::VARCHAR AS tenant_id,
+      floor(epoch(ts) / 86400) AS day, ts FROM events)
+    SELECT event_id, tenant_id, row_number() OVER (PARTITION BY tenant_id, day ORDER BY ts, event_id) <= 120 AS allowed FROM d""",
+)
+def rate_limit_default(spark, sf):
+    """The default quota per minute, on a log in which a day's requests of two tenants come within one minute."""
+    log = b.events_utc(spark, sf)
+    day = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))
+    within = F.pmod(F.unix_micros("ts"), F.lit(86_400_000_000))
+    squeezed = log.select(
+        "event_id",
+        F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string")).alias("tenant_id"),
+        F.timestamp_micros((day * 60_000_000 + F.floor(within / 1440)).cast("long")).alias("ts"),
+        F.unix_micros("ts").alias("_us"),
+    ).withColumn("order_id", F.struct("_us", "event_id"))
+    return logs.rate_limit(squeezed, id_col="order_id").select("event_id", "tenant_id", "allowed")
+
+
 @query(
     "task_latency",
     f"""WITH {LOG} SELECT task_type, count(*) AS task_count,
@@ -169,7 +195,9 @@ def feedback_log(spark, sf):
 
 @query(
     "feedback_labels",
-    f"""WITH {LOG}, {LAB}, inf AS (SELECT 't' || (doc_id % 7)::VARCHAR AS tenant_id, doc_id::VARCHAR AS message_id, label FROM lab)
+    f"""WITH {LOG}, {LAB}, inf AS (SELECT 't' || (doc_id % 7)::VARCHAR AS tenant_id, doc_id::VARCHAR AS message_id, max_by(label, attempt) AS label
+      FROM (SELECT doc_id, CASE attempt WHEN 0 THEN 1 - label ELSE label END AS label, attempt FROM lab, (VALUES (0), (1)) AS a(attempt))
+      GROUP BY ALL)
     SELECT event_id, inf.label, CASE task_type WHEN 'error' THEN 1 WHEN 'click' THEN 0 END AS corrected_label
     FROM log JOIN inf USING (tenant_id, message_id)""",
 )
@@ -178,9 +206,9 @@ def feedback_labels(spark, sf):
     done = b.labelled_documents(spark, sf).select(
         F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")).alias("tenant_id"),
         F.col("doc_id").cast("string").alias("message_id"),
-        "label",
-    )
-    joined = logs.feedback_labels(log, done, {"error": 1, "click": 0})
+        F.explode(F.array(F.struct((1 - F.col("label")).alias("label"), F.lit(0).alias("attempt")), F.struct("label", F.lit(1).alias("attempt")))).alias("_try"),
+    ).select("tenant_id", "message_id", "_try.*")
+    joined = logs.feedback_labels(log, done, {"error": 1, "click": 0}, order_col="attempt")
     return joined.select("event_id", "label", "corrected_label")
 
 

@@ -57,7 +57,6 @@ def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
 
 # ---- CSV ---------------------------------------------------------------------------
 
-_MAX_HEADERS = 1000
 _CSV = {
     "header": True,
     "quote": '"',
@@ -86,10 +85,7 @@ def _headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
     first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
     files = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     # Spark lists every input file on the driver as well; no rows come along.
-    found = files.limit(_MAX_HEADERS + 1).collect()
-    if len(found) > _MAX_HEADERS:
-        raise ValueError(f"more than {_MAX_HEADERS} different CSV headers under {root}")
-    return {r["header"]: [_literal_path(f) for f in r["files"]] for r in found}
+    return {r["header"]: [_literal_path(f) for f in r["files"]] for r in files.collect()}
 
 
 def _column_names(header: str) -> list[str]:
