@@ -22,10 +22,14 @@ def records(spark, texts, labels=None):
 
 
 def test_preprocess_counts(spark):
-    assert corpus.preprocess_records(records(spark, ["Hello world", "Buy now free offer"])).count() == 2
-    assert corpus.preprocess_records(records(spark, ["hello world"] * 5)).count() == 1
-    assert corpus.preprocess_records(records(spark, ["hi", "this is a proper email message"])).count() == 1
-    assert corpus.preprocess_records(records(spark, ["hello world"] * 3), deduplicate=False).count() == 3
+    def kept(texts, **options):
+        return corpus.preprocess_records(records(spark, texts), **options).count()
+
+    lunch, train = "Lunch moved to one o'clock.", "The train to Basel is late"
+    assert kept([lunch, train, lunch.upper(), f" {train}\t"]) == 2
+    assert kept([lunch] * 7 + [train] * 4) == 2
+    assert kept(["ok", "", train, "no."]) == 1
+    assert kept([train] * 6, deduplicate=False) == 6
 
 
 def test_first_copy_wins_and_keeps_its_fields(spark):
@@ -77,7 +81,7 @@ def test_split_is_reproducible_and_seeded(spark):
 
 def test_split_ratios_must_sum_to_one(spark):
     with pytest.raises(ValueError):
-        corpus.stratified_split(records(spark, ["a"]), ratios=(0.7, 0.2, 0.2))
+        corpus.stratified_split(records(spark, ["x", "y"]), ratios=(0.5, 0.25, 0.5))
 
 
 def test_split_without_broadcast(spark, monkeypatch):
@@ -102,17 +106,21 @@ def report(spark, rows, **options):
 
 
 def test_validation_report(spark):
-    good = [(f"This is email number {i} with enough content", i % 2) for i in range(40)]
-    row = report(spark, good)
-    assert row["is_ok"] and row["valid"] == 40 and row["n_warnings"] == 0 and row["duplicate_rate"] == 0.0
-    assert not report(spark, [])["is_ok"] and report(spark, [])["n_errors"] == 1
-    assert not report(spark, [(None, 0)])["is_ok"]
-    assert not report(spark, [("Some text that is long enough", None)])["is_ok"]
-    short = report(spark, [("hi", 0)])
-    assert short["is_ok"] and short["n_warnings"] == 1 and short["valid"] == 0
-    assert not report(spark, [("valid text here", 99)], expected_labels=(0, 1))["is_ok"]
-    copies = report(spark, [("duplicate email content", 0)] * 10)
-    assert copies["duplicate_rate"] == pytest.approx(0.9) and copies["duplicate_warning"]
+    invoices = [(f"Invoice {1000 + i} is due at the end of the month", i % 3 % 2) for i in range(63)]
+    clean = report(spark, invoices)
+    assert (clean["is_ok"], clean["valid"], clean["duplicate_rate"]) == (True, 63, 0.0)
+    failing = {
+        "nothing": [],
+        "no text": [*invoices, (None, 1)],
+        "no label": [*invoices, ("The label of this one is missing", None)],
+    }
+    assert {name: report(spark, rows)["is_ok"] for name, rows in failing.items()} == dict.fromkeys(failing, False)
+    assert report(spark, failing["nothing"])["n_errors"] == 1
+    brief = report(spark, [("no", 1), ("yes", 0)])
+    assert (brief["is_ok"], brief["n_warnings"], brief["valid"]) == (True, 2, 0)
+    assert not report(spark, [("A label nobody knows", -4)], expected_labels=(0, 1))["is_ok"]
+    copies = report(spark, [("Parking garage closed on Sunday", 1)] * 25)
+    assert copies["duplicate_warning"] and copies["duplicate_rate"] == pytest.approx(24 / 25)
 
 
 def test_copies_across_labels_and_imbalance(spark):

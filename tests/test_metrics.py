@@ -102,7 +102,7 @@ def test_per_class_report(spark):
     assert rows["weighted avg"]["recall"] == pytest.approx(4 / 7)
 
 
-@pytest.mark.parametrize("p, rec, f1, ok", [(0.95, 0.92, 0.93, True), (0.80, 0.92, 0.93, False), (0.95, 0.70, 0.80, False), (0.90, 0.85, 0.88, True)])
+@pytest.mark.parametrize("p, rec, f1, ok", [(0.99, 0.97, 0.98, True), (0.71, 0.97, 0.9, False), (0.99, 0.63, 0.89, False), (0.97, 0.96, 0.42, False), (0.9, 0.85, 0.88, True)])
 def test_gate(spark, p, rec, f1, ok):
     df = spark.createDataFrame([("m", fixed.TASK_SPAM, p, rec, f1)], "model string, task string, precision double, recall double, f1 double")
     row = m.promotion_gate(df, m.gate_table(spark)).first()

@@ -277,8 +277,9 @@ def test_normalize_label(spark):
 
 
 def test_guess_column():
-    assert labels.guess_column(["message_body", "is_spam"], ["text", "message"]) == "message_body"
-    assert labels.guess_column(["message_body", "is_spam"], ["label", "spam"]) == "is_spam"
-    assert labels.guess_column(["Message", "TEXT"], ["text", "message"]) == "TEXT"
-    assert labels.guess_column(["a_body", "a_text"], ["text", "body"]) == "a_body"
-    assert labels.guess_column(["a"], ["text"]) is None
+    columns = ["id", "raw_note", "verdict_code"]
+    assert labels.guess_column(columns, ["memo", "note"]) == "raw_note"
+    assert labels.guess_column(columns, ["verdict"]) == "verdict_code"
+    assert labels.guess_column(["Note", "MEMO"], ["memo", "note"]) == "MEMO"
+    assert labels.guess_column(["x_note", "x_memo"], ["memo", "note"]) == "x_note"
+    assert labels.guess_column([], ["memo"]) is None
