@@ -42,6 +42,25 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     }
 
 
+def dimension(queries: DataFrame) -> int:
+    """The length of most query vectors, the smaller of equally frequent ones; 0 without any."""
+    sizes = queries.where("query_vec is not null").groupBy(F.size("query_vec").alias("n")).agg(F.count("*").alias("times"))
+    most = sizes.orderBy(F.col("times").desc(), "n").first()
+    return most["n"] if most else 0
+
+
+def _fits(vector: str, dim: int):
+    return F.col(vector).isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull())
+
+
+def unfit_vectors(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(side, id) of rows a search leaves out: no vector, a null in it, or another length than most queries."""
+    dim = dimension(queries)
+    left = queries.where(~F.coalesce(_fits("query_vec", dim), F.lit(False))).select(F.lit("query").alias("side"), F.col("query_id").alias("id"))
+    right = vectors.where(~F.coalesce(_fits("embedding", dim), F.lit(False))).select(F.lit("vector").alias("side"), F.col("vec_id").alias("id"))
+    return left.unionAll(right)
+
+
 def semantic_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -56,10 +75,13 @@ def semantic_topk(
     query set of at most ``max_queries`` travels to every task, where one matrix
     product per Arrow batch keeps the batch's best ``k`` per query; only those
     reach the shuffle.  A larger set is cut into blocks and the vectors into
-    slices, and each (block, slice) is one bounded co-group.
+    slices, and each (block, slice) is one bounded co-group.  Vectors that do not
+    have the length of most queries, or hold a null, take no part; see
+    :func:`unfit_vectors`.
     """
-    known = vectors.where("embedding is not null").select("vec_id", "embedding")
-    asked = queries.where("query_vec is not null").select("query_id", "query_vec")
+    dim = dimension(queries)
+    known = vectors.where(_fits("embedding", dim)).select("vec_id", "embedding")
+    asked = queries.where(_fits("query_vec", dim)).select("query_id", "query_vec")
     head = asked.limit(max_queries + 1).toArrow().combine_chunks()
     if head.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], _HITS + ", rank int")
