@@ -13,10 +13,10 @@ in it.  What reaches the driver is one number per piece and language.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Memo, in_fold, map_rows
+from .common import in_fold, map_rows
 
 BLANK = "▁"
 UNKNOWN = "und"
@@ -32,6 +32,10 @@ UNKNOWN = "und"
 STRETCH = 32
 #: Share of a letter that no piece covers, the same for all languages.
 NO_PIECE = 1e-6
+#: Words that one worker remembers, about 150 MB with four languages.
+MEMO_WORDS = 800_000
+#: Texts are scored in blocks of about so many characters.
+BLOCK = 1 << 21
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -119,57 +123,96 @@ def learn(docs: DataFrame, vocabulary_path: str, text: str = "text", lang: str =
 
 
 class Scorer:
-    """Scores texts with learned languages; one per task."""
-
-    def __init__(self, model: Languages):
-        self.names = model.names
-        self.found = matcher(model.pieces)
-        self.share = [tuple(row) for row in model.share.tolist()]
-        self.runs = Memo(self._run)
-        self.words = Memo(self._word)
-
-    def forward(self, part: str) -> list[float]:
-        """Per language, the logarithm of the probability of all segmentations of ``part``."""
-        none = [0.0] * len(self.names)
-        ways: list[list[float]] = [[1.0] * len(self.names)] + [none] * len(part)
-        share, done = self.share, 0
-        for last, (piece, size) in self.found.iter(part):
-            end = last + 1
-            while done < end - 1:  # a place that no piece reached
-                done += 1
-                if ways[done] is none:
-                    ways[done] = [w * NO_PIECE for w in ways[done - 1]]
-            ways[end] = [c + a * p for c, a, p in zip(ways[end], ways[end - size], share[piece])]
-        while done < len(part):
-            done += 1
-            if ways[done] is none:
-                ways[done] = [w * NO_PIECE for w in ways[done - 1]]
-        return [math.log(w) for w in ways[len(part)]]
-
-    def _run(self, run: str) -> tuple[float, ...]:
-        parts = [self.forward(p) for p in stretches(run)]
-        return tuple(map(math.fsum, zip(*parts)))
-
-    def _word(self, word: str) -> tuple[float, ...] | None:
-        runs = [self.runs[r] for r in LETTERS.findall(word)]
-        return None if not runs else runs[0] if len(runs) == 1 else tuple(map(math.fsum, zip(*runs)))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names:
+    """Scores texts with learned languages; one per task.
+
+    The log-likelihoods of the words seen so far are rows of a matrix; row 0 is
+    for words without a letter.  New words of a block of texts are worked out
+    together.
+    """
+
+    def __init__(self, model: Languages, limit: int = MEMO_WORDS):
+        self.names, self.share, self.limit = model.names, model.share, limit
+        self.found = ahocorasick.Automaton()
+        for i, piece in enumerate(model.pieces):
+            self.found.add_word(piece, i << 6 | len(piece))
+        self.found.make_automaton()
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((1 << 16, len(self.names)))
+        self.used = 1
+
+    def forward(self, parts: list[str]) -> np.ndarray:
+        """Per part and language, the logarithm of the summed probability of all segmentations."""
+        flat: list[int] = []
+        counts = []
+        for part in parts:
+            codes = [last << 24 | value for last, value in self.found.iter(part)]
+            flat += codes
+            counts.append(len(codes))
+        code = np.array(flat, np.int64)
+        owner = np.repeat(np.arange(len(parts)), counts)
+        end, size, piece = (code >> 24) + 1, code & 63, (code >> 6) & 0x3FFFF
+        order = np.argsort(end, kind="stable")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        longest = int(lengths.max())
+        bound = np.searchsorted(end[order], np.arange(longest + 2))
+        ways = np.zeros((longest + 1, len(parts), len(self.names)))
+        ways[0] = 1
+        for e in range(1, longest + 1):
+            at = order[bound[e] : bound[e + 1]]
+            if len(at):
+                own = owner[at]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                ways[e, own[first]] = np.add.reduceat(ways[e - size[at], own] * self.share[piece[at]], first)
+            missed = np.flatnonzero((ways[e, :, 0] == 0) & (lengths >= e))
+            ways[e, missed] = ways[e - 1, missed] * NO_PIECE  # no piece ends here
+        return np.log(ways[lengths, np.arange(len(parts))])
+
+    def _learn(self, words: set[str]) -> None:
+        if self.used + len(words) > self.limit:
+            self.rows.clear()
+            self.used = 1
+        new = list(words - self.rows.keys())
+        for at in range(0, len(new), 10_000):
+            block = new[at : at + 10_000]
+            parts = [[p for run in LETTERS.findall(w) for p in stretches(run)] for w in block]
+            owner = np.repeat(np.arange(len(block)), list(map(len, parts)))
+            total = np.zeros((len(block), len(self.names)))
+            if len(owner):
+                logs = self.forward([p for ps in parts for p in ps])
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                total[owner[first]] = np.add.reduceat(logs, first)
+            end = self.used + len(block)
+            while end > len(self.logs):
+                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+            self.logs[self.used : end] = total
+            self.rows.update((w, self.used + i if ps else 0) for i, (w, ps) in enumerate(zip(block, parts)))
+            self.used = end
+
+    def _predict(self, words: list[str]) -> tuple[str, float]:
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        if not at.any():
             return UNKNOWN, 0.0
         total = np.zeros(len(self.names))
-        words = text.lower().split()
-        seen = False
-        for at in range(0, len(words), 1 << 14):
-            block = [v for v in map(self.words.__getitem__, words[at : at + (1 << 14)]) if v is not None]
-            if block:
-                seen = True
-                total += np.array(block).sum(axis=0)
-        if not seen:
-            return UNKNOWN, 0.0
+        for k in range(0, len(at), 1 << 16):
+            total += self.logs[at[k : k + (1 << 16)]].sum(axis=0)
         best = int(total.argmax())
         return self.names[best], float(1 / np.exp(total - total[best]).sum())
 
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Name and posterior of each text."""
+        if not self.names:
+            yield from ((UNKNOWN, 0.0) for _ in texts)
+            return
+        block: list[list[str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            block.append((t or "").lower().split())
+            size += len(t or "")
+            if size > BLOCK or i == len(texts) - 1:
+                self._learn(set(chain.from_iterable(block)))
+                yield from map(self._predict, block)
+                block, size = [], 0
+
 
 def identify(df: DataFrame, model: Languages, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the posterior under equal priors), a row per row of ``df``.
@@ -181,7 +224,7 @@ def identify(df: DataFrame, model: Languages, doc_id: str = "doc_id", text: str
 
     def work():
         scorer = Scorer(shared.value)
-        return lambda texts: [scorer.predict(t) for t in texts]
+        return lambda texts: list(scorer.predict(texts))
 
     return map_rows(df, [doc_id], text, [("lang_pred", pa.string()), ("score", pa.float64())], work)
 
