@@ -11,6 +11,11 @@ hashes with different segments or one that may repeat in itself, goes to the
 shards, whose suffixes are sorted by external induced
 sorting; neighbours that share ``length`` bytes repeat.  Each different text is
 represented once, under its MD5.
+
+Most hashes stand in one segment only.  A first pass shuffles nothing but hashes
+to find the others; bitmaps of a fixed size then keep segments and texts that
+cannot take part out of every later shuffle.  A bit that is set by chance, or a
+bitmap that is full, only lets more through.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 from .suffixes import Folder, repeated
@@ -29,6 +34,8 @@ from .suffixes import Folder, repeated
 LENGTH = 400
 #: Bytes of a window; shorter strings than this cannot be asked for.
 GRAM = 32
+#: Bits of a bitmap, 32 MB.
+BITS = 1 << 28
 #: Bytes a shard is meant to hold; it may hold any number, on disk.
 SHARD_BYTES = 3 << 20
 
@@ -63,39 +70,97 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return m.view(np.int64), first, end, twice
 
 
-def segment_rows(texts: DataFrame, length: int) -> DataFrame:
-    """key (MD5), m (hash), h (content), first, last (starts, both included), twice, a row per segment of ``texts``: text."""
+def bitmap(values: DataFrame, bits: int = BITS):
+    """A broadcast bitmap, ``bits`` / 8 bytes, with a bit for each of the one column of longs."""
+    block = 19  # 64 kB of a bitmap are put together in one task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            for b in np.unique(bit >> block).tolist():
+                flags = held.setdefault(b, np.zeros(1 << block, bool))
+                flags[bit[bit >> block == b] & ((1 << block) - 1)] = True
+        for b, flags in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(flags).tobytes()])], names=["b", "flags"])
+
+    bit = F.col(values.columns[0]).bitwiseAND(bits - 1)
+    blocks = max(1, bits >> block)
+    rows = (
+        values.select(bit.alias("bit"))
+        .distinct()
+        .repartition(min(blocks, 64), F.shiftright("bit", block))
+        .mapInArrow(run, "b long, flags binary")
+        .collect()
+    )
+    whole = np.zeros(bits >> 3, np.uint8)
+    width = min(1 << block, bits) >> 3
+    for r in rows:
+        whole[r["b"] * width : (r["b"] + 1) * width] = np.frombuffer(r["flags"], np.uint8)[:width]
+    return values.sparkSession.sparkContext.broadcast(whole)
+
+
+def in_bitmap(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values & (len(flags) * 8 - 1)
+    return (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def key_number(key: Column) -> Column:
+    """Seven bytes of an MD5 as a long."""
+    return F.conv(F.hex(F.substring(key, 2, 7)), 16, 10).cast("long")
+
+
+def maybe(keys: Column, flags) -> Column:
+    """Whether the number of a key is in a broadcast bitmap."""
+
+    def run(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for n in numbers:
+            yield pa.array(in_bitmap(flags.value, n.to_numpy(zero_copy_only=False)))
+
+    return F.arrow_udf(run, "boolean")(key_number(keys))
+
+
+def segment_hashes(texts: DataFrame, length: int) -> DataFrame:
+    """m and twice of each segment of ``texts``: text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                keys, ms, hs, firsts, lasts, twices = [], [], [], [], [], []
+                found = [segments(t.encode("utf-8"), length) for t in batch.column(0).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([f[0] for f in found])),
+                        pa.array([x for f in found for x in f[3]], pa.bool_()),
+                    ],
+                    names=["m", "twice"],
+                )
+
+    return texts.select("text").mapInArrow(run, "m long, twice boolean")
+
+
+def segment_rows(texts: DataFrame, length: int, flags) -> DataFrame:
+    """key (MD5), m (hash), h (content), first, last (starts, both included), twice, a row per segment whose m is in ``flags``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                columns: list[list] = [[] for _ in range(6)]
                 for data in batch.column(0).slice(at, 256).to_pylist():
                     data = data.encode("utf-8")
                     m, first, end, twice = segments(data, length)
-                    if not len(m):
+                    some = np.flatnonzero(in_bitmap(flags.value, m)) if len(m) else ()
+                    if not len(some):
                         continue
-                    keys += [hashlib.md5(data).digest()] * len(m)
-                    ms.append(m)
-                    firsts.append(first)
-                    lasts.append(end - 1)
-                    twices += twice
-                    view = memoryview(data)
-                    hs += [
-                        xxhash.xxh3_128_digest(view[a : b + length - 1]) for a, b in zip(first.tolist(), end.tolist())
-                    ]
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys, pa.binary()),
-                            pa.array(np.concatenate(ms)),
-                            pa.array(hs, pa.binary()),
-                            pa.array(np.concatenate(firsts).astype(np.int64)),
-                            pa.array(np.concatenate(lasts).astype(np.int64)),
-                            pa.array(twices, pa.bool_()),
-                        ],
-                        names=["key", "m", "h", "first", "last", "twice"],
-                    )
+                    view, key = memoryview(data), hashlib.md5(data).digest()
+                    for i in some.tolist():
+                        a, b = int(first[i]), int(end[i])
+                        row = (key, int(m[i]), xxhash.xxh3_128_digest(view[a : b + length - 1]), a, b - 1, twice[i])
+                        for column, value in zip(columns, row):
+                            column.append(value)
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "m", "h", "first", "last", "twice"]
+                )
 
     return texts.select("text").mapInArrow(run, "key binary, m long, h binary, first long, last long, twice boolean")
 
@@ -104,7 +169,9 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """key, m, first and the bytes of the ``wanted`` segments (key, m, h, first, last)."""
     by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("m", "first", "last")).alias("parts"))
     keyed = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    joined = keyed.join(by_text.hint("shuffle_hash"), "key")
+    some = bitmap(wanted.select(key_number(F.col("key")).alias("n")))
+    different = keyed.where(maybe(F.col("key"), some)).dropDuplicates(["key"])  # copies go before the shuffle
+    joined = different.join(by_text.hint("shuffle_hash"), "key")
     cut = joined.select("key", F.col("text").cast("binary").alias("data"), F.explode("parts").alias("p"))
     return cut.select(
         "key",
@@ -119,14 +186,11 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Folder() as folder:
-            keys, firsts, sizes, seen = [], [], [], set()
+            keys, firsts, sizes = [], [], []
             size = 0
             with open(f"{folder.path}/text", "wb") as file:
                 for batch in batches:
                     for key, m, first, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                        if (key, first) in seen:  # a text that stands in several rows
-                            continue
-                        seen.add((key, first))
                         np.append(np.frombuffer(data, np.uint8).astype(np.int16) + 2, np.int16(1)).tofile(file)
                         keys.append(key)
                         firsts.append(first)
@@ -135,7 +199,6 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
                 np.zeros(1, np.int16).tofile(file)
             if not keys:
                 return
-            seen.clear()
             text = np.memmap(f"{folder.path}/text", np.int16, "r", shape=(size + 1,))
             found = repeated(text, length, folder)
             at = 0
@@ -157,7 +220,10 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """key (MD5 of the text), start, end: bytes of ``texts`` (text, not null) covered by repeated strings."""
-    rows = segment_rows(texts, length)
+    alone = (
+        segment_hashes(texts, length).groupBy("m").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+    )
+    rows = segment_rows(texts, length, bitmap(alone.select("m")))
     places = materialize(rows.groupBy("m", "h", "key", "first", "last", "twice").agg(F.count("*").alias("n")), "segments")
     contents = materialize(
         places.groupBy("m", "h").agg(
@@ -173,7 +239,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         "segment-groups",
     )
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    wanted = contents.join(groups.select("m"), "m", "left_semi").select("m", "h", "one.key", "one.first", "one.last")
+    wanted = materialize(
+        contents.join(groups.select("m"), "m", "left_semi").select("m", "h", "one.key", "one.first", "one.last"), "segments-asked"
+    )
     shards = max(1, -(-total // SHARD_BYTES))
     unequal = shard_spans(cut_segments(texts, wanted, length), shards, length)
     equal = places.join(contents.where("n > 1").select("m", "h"), ["m", "h"], "left_semi").select(
@@ -197,7 +265,15 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     keep = [c for c in df.columns if c not in made]
     data = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit("").cast("binary"))
     row = df.select(F.struct(*keep).alias("row"), data.alias("data"), F.unhex(F.md5(data)).alias("key"))
-    joined = row.join(per_text, "key", "left")
+    per_text = materialize(per_text, "repeated-spans")
+    some = bitmap(per_text.select(key_number(F.col("key")).alias("n")))
+    row = row.select("*", F.explode(F.array(maybe(F.col("key"), some))).alias("some"))
+    joined = (
+        row.where("some")
+        .join(per_text, "key", "left")
+        .select("row", "data", "spans")
+        .unionAll(row.where("NOT some").select("row", "data", F.lit(None).cast(per_text.schema["spans"].dataType).alias("spans")))
+    )
     # runs: the spans in order, each start after the furthest end before it
     merged = F.aggregate(
         F.sort_array(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))),
