@@ -25,7 +25,7 @@ import numpy as np
 
 BATCH = 1 << 18
 #: Below so many suffixes per letter the recursion ends in rank doubling.
-FEW = 24
+FEW = 200
 
 
 class Folder:
@@ -53,19 +53,36 @@ def types(t: np.ndarray) -> np.ndarray:
     return np.concatenate([np.repeat(rising, lengths), np.ones(len(t) - int(lengths.sum()), bool)])
 
 
+def refined(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Give ``live`` places new ranks by (rank, key) and return those that still share one.
+
+    A rank is the place of the first of its group in the order, and all of a
+    group are live together; ``key`` holds the old rank in its upper bits.
+    """
+    order = np.argsort(key)
+    sorted_key, old = key[order], rank[live[order]]
+    count = np.arange(len(live))
+    fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), count, 0))
+    first = np.maximum.accumulate(np.where(fresh, count, 0))
+    rank[live[order]] = old + first - start
+    return live[order[~(fresh & np.append(fresh[1:], True))]]
+
+
 def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix order by rank doubling; the last letter must be unique."""
+    """Suffix order by rank doubling, going on with unsettled suffixes only; the last letter must be unique."""
     n = len(t)
-    rank, step = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank[order] = new
+    rank = np.zeros(n, np.int64)
+    live = refined(rank, np.arange(n), t.astype(np.int64))
+    step = 1
+    while len(live):
+        behind = np.minimum(live + step, n - 1)
+        follow = np.where(live + step < n, rank[behind] + 1, 0)
+        live = refined(rank, live, rank[live] * (n + 1) + follow)
         step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def names(t: np.ndarray, stars: np.ndarray) -> np.ndarray:
@@ -82,15 +99,9 @@ def names(t: np.ndarray, stars: np.ndarray) -> np.ndarray:
             inside = k < sizes[live]
             letter = np.where(inside, t[np.minimum(stars[live] + k, len(t) - 1)], sigma - 1)  # the shorter is larger
             key = (key << bits) | letter
-        order = np.argsort(key, kind="stable")
-        old = name[live[order]]
-        fresh = np.concatenate([[True], np.diff(key[order]) != 0])
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(old) != 0]), np.arange(len(live)), 0))
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(live)), 0))
-        name[live[order]] = old + first - start
         at += width
-        alone = fresh & np.append(fresh[1:], True)
-        live = live[order[~alone & (sizes[live[order]] >= at)]]  # its end counts, too
+        live = refined(name, live, key)
+        live = live[sizes[live] >= at]  # its end counts, too
     return np.unique(name, return_inverse=True)[1]
 
 
