@@ -34,8 +34,8 @@ from .suffixes import Folder, repeated
 LENGTH = 400
 #: Bytes of a window; shorter strings than this cannot be asked for.
 GRAM = 32
-#: Bits of a bitmap, 32 MB.
-BITS = 1 << 28
+#: Bits of a bitmap, 8 MB.
+BITS = 1 << 26
 #: Bytes a shard is meant to hold; it may hold any number, on disk.
 SHARD_BYTES = 3 << 20
 
