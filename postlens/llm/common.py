@@ -24,6 +24,8 @@ __all__ = [
 BROADCAST_BYTES = 32 << 20
 #: Words that one worker remembers; beyond it they are worked out again.
 MEMO_WORDS = 400_000
+#: Rows that a map holds as Python objects at a time.
+ROWS = 500
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -67,16 +69,15 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = work()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = call(batch.column(len(keep)).to_pylist())
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))]
-                + [pa.array(columns[i], kind) for i, (_, kind) in enumerate(fields)],
-                names=[f"k{i}" for i in range(len(keep))] + [f"v{i}" for i in range(len(fields))],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = list(zip(*call(batch.column(len(keep)).to_pylist())))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i) for i in range(len(keep))]
+                    + [pa.array(columns[i], kind) for i, (_, kind) in enumerate(fields)],
+                    names=[f"k{i}" for i in range(len(keep))] + [f"v{i}" for i in range(len(fields))],
+                )
 
     return narrow.mapInArrow(run, ", ".join(x for x in (kept, made) if x)).toDF(*keep, *[n for n, _ in fields])
 
