@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import decontaminate, pieces, quality, repeats, simhash
+from postlens.llm import decontaminate, nearcopies, pieces, quality, repeats
 from postlens.llm.common import materialize, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of rows that share 80 % of their five-word shingles the one with the smallest id stays."""
+    return nearcopies.keep_first(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,145 @@
+"""Near copies by the share of five-word shingles: SimHash trees first, a prefix join for the rest.
+
+Two texts are near copies if their sets of shingles have a Jaccard similarity of
+``SHARE`` or more.  At 0.8 their 64-bit fingerprints differ in about ten bits, a
+radius at which neither blocks of bits nor trees leave much out.  So fingerprints
+settle what is close (equal sets, then trees of a small radius, whose links are
+checked), and the rest is found without loss: with any fixed order of shingles,
+near copies share one among the first n - ceil(0.8 n) + 1 of each of them.  The
+order puts shingles last that a sample of rows calls common, which only saves work.
+
+Every candidate is checked on the whole sets.  Rows are told apart by a number in
+a written table, so rows with the same id, or without one, are rows of their own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from .common import broadcast_if_bounded, materialize
+from .simhash import RADIUS, _signed, components, links, majority, shingle_hashes
+
+SHINGLE = 5
+#: Least share of common shingles, as a fraction.
+SHARE = (4, 5)
+#: One row in so many tells which shingles are common, those that so many of the sampled rows hold; at most so many are told.
+SAMPLE, OFTEN, COMMON = 16, 3, 1 << 16
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table with a number per row, _row."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def shingle_sets(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """_row and set, the different hashes of the shingles, of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_row", "set"])
+
+    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "_row long, set array<long>")
+
+
+def sketches(rows: DataFrame, text: str, size: int, common: np.ndarray) -> DataFrame:
+    """_row, h (content of the set), fp, n and prefix of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                made: list[list] = [[], [], [], []]
+                for t in batch.column(1).to_pylist():
+                    hashes = shingle_hashes(t, size)
+                    own = np.unique(hashes)
+                    often = np.isin(own, common)
+                    most = len(own) - -(-SHARE[0] * len(own) // SHARE[1]) + 1
+                    prefix = np.concatenate([own[~often], own[often]])[:most]
+                    row = (xxhash.xxh3_128_digest(own.tobytes()), _signed(majority(hashes)), len(own), prefix.view(np.int64))
+                    for column, value in zip(made, row):
+                        column.append(value)
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *map(pa.array, made, kinds)], names=["_row", "h", "fp", "n", "prefix"]
+                )
+
+    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "_row long, h binary, fp long, n long, prefix array<long>")
+
+
+def common_shingles(rows: DataFrame, text: str, size: int) -> np.ndarray:
+    some = shingle_sets(rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0), text, size)
+    counted = some.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    told = counted.orderBy(F.desc("n"), "s").limit(COMMON).select("s").collect()
+    return np.sort(np.array([r["s"] for r in told], np.int64).view(np.uint64))
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    return df.join(broadcast_if_bounded(gone), "_row", "left_anti")
+
+
+def checked(rows: DataFrame, pairs: DataFrame, text: str, size: int) -> DataFrame:
+    """The _row of each second of ``pairs`` (a, b) that is a near copy of the first."""
+    pairs = materialize(pairs.select("a", "b").distinct(), "near-candidates")
+    asked = materialize(pairs.select(F.col("a").alias("_row")).unionAll(pairs.select("b")).distinct(), "near-asked")
+    sets = materialize(shingle_sets(rows.join(broadcast_if_bounded(asked), "_row", "left_semi"), text, size), "near-sets")
+    first, second = sets.select(F.col("_row").alias("a"), F.col("set").alias("x")), sets.select(F.col("_row").alias("b"), F.col("set").alias("y"))
+    both = pairs.join(second, "b").join(first, "a")
+    i, top, low = F.size(F.array_intersect("x", "y")), *SHARE
+    near = i * low >= (F.size("x") + F.size("y") - i) * top
+    return materialize(both.where(near).select(F.col("b").alias("_row")).distinct(), "near-gone")
+
+
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``df`` without near copies: no two rows that stay are, and each that goes is one of an earlier row.
+
+    Earlier is the smaller id, then the row number; rows without an id are last.
+    Rows without a word stay as they are.
+    """
+    rows = numbered(df, "near-rows")
+    worded = rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
+    made = sketches(worded, text, size, common_shingles(worded, text, size))
+    made = materialize(made.join(rows.select("_row", order.alias("o")), "_row"), "near-sketches")
+
+    # equal sets
+    heads = made.groupBy("h").agg(F.min("o").alias("head"), F.count("*").alias("k")).where("k > 1")
+    gone = materialize(made.select("_row", "h", "o").join(heads, "h").where("o <> head").select("_row"), "near-gone")
+    live = without(made, gone)
+
+    # fingerprints a few bits apart, checked against the first row of their component
+    narrow = materialize(live.select("_row", "fp", "o"), "near-fingerprints")
+    nodes = materialize(narrow.groupBy("fp").agg(F.min("o").alias("o"), F.count("*").alias("k")), "near-nodes")
+    member = components(links(nodes.select("fp"), RADIUS))
+    placed = materialize(
+        nodes.join(member, nodes.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "o", "k"), "near-members"
+    )
+    heads = placed.groupBy("root").agg(F.min("o").alias("head"), F.sum("k").alias("k")).where("k > 1")
+    pairs = narrow.join(placed.select("fp", "root").join(heads, "root"), "fp").where("o <> head")
+    gone = materialize(
+        gone.unionAll(checked(rows, pairs.select(F.col("head.row").alias("a"), F.col("_row").alias("b")), text, size)), "near-gone"
+    )
+
+    # shingles of the prefixes: the first row of each shingle against the others, then what is left among itself
+    posts = materialize(without(made, gone).select("_row", "o", "n", F.explode("prefix").alias("s")), "near-prefixes")
+    heads = materialize(
+        posts.groupBy("s").agg(F.min(F.struct("o", "n")).alias("head"), F.count("*").alias("k")).where("k > 1"), "near-heads"
+    )
+
+    def bounded(x: str, y: str):
+        return (F.col(x) * SHARE[1] >= F.col(y) * SHARE[0]) & (F.col(y) * SHARE[1] >= F.col(x) * SHARE[0])
+
+    pairs = posts.join(heads, "s").where((F.col("o") != F.col("head.o")) & bounded("n", "head.n"))
+    found = checked(rows, pairs.select(F.col("head.o.row").alias("a"), F.col("_row").alias("b")), text, size)
+    left = materialize(without(posts.join(heads.where("k > 2").select("s"), "s"), found), "near-left")
+    other = left.select("s", F.col("_row").alias("a"), F.col("o").alias("before"), F.col("n").alias("m"))
+    pairs = left.withColumnRenamed("_row", "b").join(other, "s").where((F.col("before") < F.col("o")) & bounded("n", "m"))
+    gone = materialize(gone.unionAll(found).unionAll(checked(rows, pairs, text, size)).distinct(), "near-gone")
+    return without(rows, gone).select(*df.columns)

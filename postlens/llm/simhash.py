@@ -31,21 +31,28 @@ RADIUS = 3
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The majority bits of the hashes of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hashes of all word shingles in order; fewer words than ``size`` are one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - size + 1)
     shingles = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
-    hashes = np.fromiter(
-        map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=">u8", count=n
-    )
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        block = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 1 << 16):
+        block = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The majority bits of the hashes of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text, size))
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
