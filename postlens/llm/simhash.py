@@ -230,12 +230,15 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each component: that with the smallest id.
+    """``df`` with one row of each component: that with the smallest id, the first of them if it is repeated.
 
-    Rows with a null id or without a word cannot stand for a group and stay as
-    they are; rows that repeat an id are one document and stay together.
+    Rows without a word stay as they are.  A row without an id cannot stand for
+    a group and stays here; ``nearcopies.keep_first`` drops it next to a copy.
     """
-    found = near_duplicates(df.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")), doc_id, text)
-    gone = found.where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    kept = df.join(gone, df[doc_id] == gone["_gone"], "left_anti")
-    return kept.select(*df.columns)
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "keep-rows")
+    found = near_duplicates(rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")), "_row", text).where("copies > 1").select("_row", "component_id")
+    named = rows.where(F.col(doc_id).isNotNull())
+    placed = materialize(found.join(named.select("_row", F.struct(F.col(doc_id).alias("id"), "_row").alias("o")), "_row"), "keep-components")
+    heads = placed.groupBy("component_id").agg(F.min("o").alias("head"))
+    gone = placed.join(heads, "component_id").where("o <> head").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

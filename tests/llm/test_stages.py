@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from postlens.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,3 +38,16 @@ def test_near_copies_of_80_percent_go(spark):
     assert any(share(texts[a], texts[b]) < 0.87 for a, b in pairs) and len(pairs) < 25
     kept = {r["doc_id"] for r in stage("simhash_near_dedup", spark, docs_of(spark, enumerate(texts)))}
     assert kept == set(range(50)) - {b for _, b in pairs}
+
+
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    rng = random.Random(12)
+    one, two, three = (" ".join(prose(rng, 80)) for _ in range(3))
+    rows = [(None, one), (7, one), (7, one), (3, two), (3, three), (None, two + " tail"), (None, three), (None, three + " tail"), (9, "")]
+    kept = stage("simhash_near_dedup", spark, docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, one), (3, two), (3, three), (9, "")])
+    without_id = stage("simhash_near_dedup", spark, docs_of(spark, [(None, one)] * 3))
+    assert [(r["doc_id"], r["text"]) for r in without_id] == [(None, one)]
+    whole = stage("suffix_array_dedup", spark, docs_of(spark, [(r["doc_id"], r["text"]) for r in kept]))
+    assert {r["text"] for r in whole} == {one, two, three, ""}
+    assert simhash.keep_one(docs_of(spark, [(7, one), (7, one), (8, one)])).count() == 1
