@@ -173,7 +173,8 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs; a row without an id is kept."""
-    bad = contamination(docs, items, doc_id, text).where("contaminated").select(F.col(doc_id).alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, judged row by row whatever their ids."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
+    bad = contamination(rows, items, "_row", text).where("contaminated").select("_row")
+    return rows.join(bad, "_row", "left_anti").select(*docs.columns)

@@ -51,3 +51,12 @@ def test_rows_of_one_id_are_rows_of_their_own(spark):
     whole = stage("suffix_array_dedup", spark, docs_of(spark, [(r["doc_id"], r["text"]) for r in kept]))
     assert {r["text"] for r in whole} == {one, two, three, ""}
     assert simhash.keep_one(docs_of(spark, [(7, one), (7, one), (8, one)])).count() == 1
+
+
+def test_contaminated_rows_go_and_no_others(spark, tmp_path):
+    rng = random.Random(13)
+    item, *clean = (" ".join(prose(rng, n)) for n in (25, 60, 60, 60))
+    rows = [(1, clean[0] + " " + item), (1, clean[1]), (None, item + " " + clean[2]), (None, clean[2]), (2, clean[0])]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.benchmark_decontamination(spark, docs_of(spark, rows), str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[1], rows[3], rows[4]} and left.columns == docs_of(spark, rows).columns
