@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postlens.llm import decontaminate, nearcopies, pieces, quality, repeats
 from postlens.llm.common import materialize, table
 
+#: Fewest words of a passage that may not repeat.
+PASSAGE = 51
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -22,8 +24,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand at two places are cut out of the texts."""
-    cut = repeats.drop_repeats(docs)
+    """Strings of 400 bytes and passages of over 50 words that stand at two places are cut out of the texts."""
+    cut = repeats.drop_repeats(docs, words=PASSAGE)
     return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in cut.columns])
 
 

@@ -21,6 +21,7 @@ bitmap that is full, only lets more through.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import Memo, materialize
 from .suffixes import Folder, repeated
 
 LENGTH = 400
 #: Bytes of a window; shorter strings than this cannot be asked for.
 GRAM = 32
+#: Bytes of a word's code where repeats are asked for by words.
+CODE = 4
+#: What bytes.split takes for a word.
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 #: Bits of a bitmap, 8 MB.
 BITS = 1 << 26
 #: Bytes a shard is meant to hold; it may hold any number, on disk.
@@ -126,7 +131,7 @@ def segment_hashes(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found = [segments(t.encode("utf-8"), length) for t in batch.column(0).slice(at, 256).to_pylist()]
+                found = [segments(t if isinstance(t, bytes) else t.encode("utf-8"), length) for t in batch.column(0).slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([f[0] for f in found])),
@@ -146,7 +151,7 @@ def segment_rows(texts: DataFrame, length: int, flags) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 columns: list[list] = [[] for _ in range(6)]
                 for data in batch.column(0).slice(at, 256).to_pylist():
-                    data = data.encode("utf-8")
+                    data = data if isinstance(data, bytes) else data.encode("utf-8")
                     m, first, end, twice = segments(data, length)
                     some = np.flatnonzero(in_bitmap(flags.value, m)) if len(m) else ()
                     if not len(some):
@@ -219,7 +224,7 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key (MD5 of the text), start, end: bytes of ``texts`` (text, not null) covered by repeated strings."""
+    """key (MD5 of the text), start, end: bytes of ``texts`` (text or binary, not null) covered by repeated strings."""
     alone = (
         segment_hashes(texts, length).groupBy("m").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
     )
@@ -250,17 +255,52 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return equal.unionAll(unequal)
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def repeated_words(texts: DataFrame, words: int) -> DataFrame:
+    """key (MD5 of the text), start, end (not included): words of ``texts`` covered by repeated runs of ``words`` words.
+
+    Each word (between ASCII white space) becomes a code of its hash, and the
+    repeated strings of so many codes are found like those of bytes; strings that
+    start inside a code do not count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(xxhash.xxh32_intdigest)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                data = [t.encode("utf-8") for t in batch.column(0).slice(at, 256).to_pylist()]
+                codes = [np.fromiter(map(memo.__getitem__, d.split()), np.uint32).tobytes() for d in data]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.md5(d).digest() for d in data], pa.binary()), pa.array(codes, pa.binary())], names=["whole", "text"]
+                )
+
+    length = CODE * words
+    coded = texts.select("text").mapInArrow(run, "whole binary, text binary").where(F.octet_length("text") >= length)
+    coded = materialize(coded, "word-codes")
+    first = F.ceil(F.col("start") / CODE)
+    last = F.floor((F.col("end") - length) / CODE)
+    spans = repeated_spans(coded, length).select("key", first.alias("start"), (last + words).alias("end")).where(F.col("end") - F.col("start") >= words)
+    wholes = coded.select("whole", F.unhex(F.md5("text")).alias("key")).distinct()
+    return spans.join(wholes, "key").select(F.col("whole").alias("key"), "start", "end")
+
+
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
     """``df`` plus kept (the bytes left, binary), n_bytes, n_removed and n_spans, a row per row.
 
     Every byte covered by a string of ``length`` bytes that starts at another
     place too, in any row, is removed; strings are judged on the input, and a
     row that is repeated counts as two places.  Null counts as the empty text.
+    With ``words``, so do runs of so many words, from the first byte of the first
+    word to the last byte of the last, whatever white space is between them.
     Columns of ``df`` with the added names are replaced.
     """
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
-    spans = repeated_spans(texts, length)
-    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(texts, length).withColumn("worded", F.lit(False))
+    if words:
+        spans = spans.unionAll(repeated_words(texts, words).withColumn("worded", F.lit(True)))
+    per_text = spans.groupBy("key").agg(
+        F.collect_set(F.when(~F.col("worded"), F.struct("start", "end"))).alias("spans"),
+        F.collect_set(F.when(F.col("worded"), F.struct("start", "end"))).alias("runs"),
+    )
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     keep = [c for c in df.columns if c not in made]
     data = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit("").cast("binary"))
@@ -268,10 +308,25 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     per_text = materialize(per_text, "repeated-spans")
     some = bitmap(per_text.select(key_number(F.col("key")).alias("n")))
     row = row.select("*", F.explode(F.array(maybe(F.col("key"), some))).alias("some"))
+
+    def in_bytes(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for data, starts, ends in pieces:
+            out = []
+            for d, a, b in zip(data.to_pylist(), starts.to_pylist(), ends.to_pylist()):
+                places = [w.span() for w in WORD.finditer(d)] if a else []
+                out.append([{"start": places[x][0], "end": places[y - 1][1]} for x, y in zip(a or [], b or [])])
+            yield pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    byte_spans = F.col("spans")
+    if words:
+        byte_spans = F.concat(
+            F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")),
+            F.arrow_udf(in_bytes, "array<struct<start:bigint,end:bigint>>")("data", "runs.start", "runs.end"),
+        )
     joined = (
         row.where("some")
         .join(per_text, "key", "left")
-        .select("row", "data", "spans")
+        .select("row", "data", byte_spans.alias("spans"))
         .unionAll(row.where("NOT some").select("row", "data", F.lit(None).cast(per_text.schema["spans"].dataType).alias("spans")))
     )
     # runs: the spans in order, each start after the furthest end before it
@@ -312,8 +367,8 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) ->
     )
 
 
-def drop_repeats(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the repeated strings cut out of ``text``; a character cut in half goes whole.
+def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``df`` with the repeated strings (and runs of ``words`` words) cut out of ``text``; a character cut in half goes whole.
 
     Rows stay, with an empty text if nothing is left; null stays null.
     """
@@ -321,6 +376,6 @@ def drop_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     def decode(kept: pa.Array) -> pa.Array:
         return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    found = without_repeats(df, text)
+    found = without_repeats(df, text, length, words)
     left = F.when(F.col(text).isNotNull(), F.arrow_udf(decode, "string")("kept"))
     return found.select(*[left.alias(c) if c == text else F.col(c) for c in df.columns])

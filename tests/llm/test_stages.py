@@ -60,3 +60,21 @@ def test_contaminated_rows_go_and_no_others(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = corpus_pipeline.benchmark_decontamination(spark, docs_of(spark, rows), str(tmp_path))
     assert {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[1], rows[3], rows[4]} and left.columns == docs_of(spark, rows).columns
+
+
+def test_passages_of_over_50_words_are_cut(spark):
+    rng = random.Random(14)
+    short = lambda n: ["".join(rng.choice("aeioudrtlnsé") for _ in range(rng.randint(1, 5))) for _ in range(n)]
+    rows, want = [], {}
+    for i, n in enumerate([40, 50, 51, 52, 58, 65]):
+        passage = short(n)
+        assert len(" ".join(passage).encode()) < 400
+        for k in range(2):
+            before, after = prose(rng, 30 + k), prose(rng, 40)
+            rows.append((2 * i + k, " ".join(before) + "\n" + ["  ", " "][k].join(passage) + " " + " ".join(after)))
+            want[2 * i + k] = before + (passage if n < 51 else []) + after
+    rows += [(100, " ".join(["so"] * 60)), (101, " ".join(["na"] * 51))]
+    want |= {100: [], 101: ["na"] * 51}
+    got = {r["doc_id"]: r["text"] for r in stage("suffix_array_dedup", spark, docs_of(spark, rows))}
+    assert {i: t.split() for i, t in got.items()} == want
+    assert all(got[i] == t for i, t in rows if i < 4)
