@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import broadcast_if_bounded, materialize
+from .repeats import bitmap, in_bitmap
 from .simhash import RADIUS, _signed, components, links, majority, shingle_hashes
 
 SHINGLE = 5
@@ -49,18 +50,18 @@ def shingle_sets(rows: DataFrame, text: str, size: int) -> DataFrame:
     return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "_row long, set array<long>")
 
 
-def sketches(rows: DataFrame, text: str, size: int, common: np.ndarray) -> DataFrame:
-    """_row, h (content of the set), fp, n and prefix of each row."""
+def sketches(rows: DataFrame, doc_id: str, text: str, size: int, common: np.ndarray) -> DataFrame:
+    """_row, id, h (content of the set), fp, n and prefix of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 batch = whole.slice(at, 100)
                 made: list[list] = [[], [], [], []]
-                for t in batch.column(1).to_pylist():
+                for t in batch.column(2).to_pylist():
                     hashes = shingle_hashes(t, size)
                     own = np.unique(hashes)
-                    often = np.isin(own, common)
+                    often = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else own != own
                     most = len(own) - -(-SHARE[0] * len(own) // SHARE[1]) + 1
                     prefix = np.concatenate([own[~often], own[often]])[:most]
                     row = (xxhash.xxh3_128_digest(own.tobytes()), _signed(majority(hashes)), len(own), prefix.view(np.int64))
@@ -68,10 +69,26 @@ def sketches(rows: DataFrame, text: str, size: int, common: np.ndarray) -> DataF
                         column.append(value)
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *map(pa.array, made, kinds)], names=["_row", "h", "fp", "n", "prefix"]
+                    [batch.column(0), batch.column(1), *map(pa.array, made, kinds)], names=["_row", "id", "h", "fp", "n", "prefix"]
                 )
 
-    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "_row long, h binary, fp long, n long, prefix array<long>")
+    kind = rows.schema[doc_id].dataType.simpleString()
+    narrow = rows.select("_row", F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"_row long, id {kind}, h binary, fp long, n long, prefix array<long>")
+
+
+def only_in(flags) -> Column:
+    """The shingles of prefix that may be in a broadcast bitmap."""
+
+    def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for prefix in lists:
+            flat = prefix.flatten()
+            kept = in_bitmap(flags.value, flat.to_numpy())
+            ends = np.concatenate([[0], np.cumsum(kept)])
+            edges = np.concatenate([[0], np.cumsum(prefix.value_lengths().to_numpy())])
+            yield pa.ListArray.from_arrays(pa.array(ends[edges], pa.int32()), flat.filter(pa.array(kept)))
+
+    return F.arrow_udf(run, "array<long>")("prefix")
 
 
 def common_shingles(rows: DataFrame, text: str, size: int) -> np.ndarray:
@@ -105,9 +122,9 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """
     rows = numbered(df, "near-rows")
     worded = rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))
-    made = sketches(worded, text, size, common_shingles(worded, text, size))
-    made = materialize(made.join(rows.select("_row", order.alias("o")), "_row"), "near-sketches")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("_row").alias("row")).alias("o")
+    made = sketches(worded, doc_id, text, size, common_shingles(worded, text, size))
+    made = materialize(made, "near-sketches").select("_row", order, "h", "fp", "n", "prefix")
 
     # equal sets
     heads = made.groupBy("h").agg(F.min("o").alias("head"), F.count("*").alias("k")).where("k > 1")
@@ -128,7 +145,11 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     )
 
     # shingles of the prefixes: the first row of each shingle against the others, then what is left among itself
-    posts = materialize(without(made, gone).select("_row", "o", "n", F.explode("prefix").alias("s")), "near-prefixes")
+    # most shingles stand in one prefix only; a bitmap of the others keeps them out of the later shuffles
+    live = without(made, gone)
+    twice = live.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    some = only_in(bitmap(twice.select("s")))
+    posts = materialize(live.select("_row", "o", "n", some.alias("prefix")).select("_row", "o", "n", F.explode("prefix").alias("s")), "near-prefixes")
     heads = materialize(
         posts.groupBy("s").agg(F.min(F.struct("o", "n")).alias("head"), F.count("*").alias("k")).where("k > 1"), "near-heads"
     )
