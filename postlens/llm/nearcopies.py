@@ -144,7 +144,8 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
         gone.unionAll(checked(rows, pairs.select(F.col("head.row").alias("a"), F.col("_row").alias("b")), text, size)), "near-gone"
     )
 
-    # shingles of the prefixes: the first row of each shingle against the others, then what is left among itself
+    # shingles of the prefixes: the first row of each shingle against the others, which only makes large groups
+    # small, then what is left among itself, without loss
     # most shingles stand in one prefix only; a bitmap of the others keeps them out of the later shuffles
     live = without(made, gone)
     twice = live.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
@@ -157,10 +158,18 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     def bounded(x: str, y: str):
         return (F.col(x) * SHARE[1] >= F.col(y) * SHARE[0]) & (F.col(y) * SHARE[1] >= F.col(x) * SHARE[0])
 
+    def enough(pairs: DataFrame) -> DataFrame:
+        # what two sets share beyond the prefix that ends first is less than ceil(0.8 n)
+        need = F.ceil(F.greatest("n", "m") * SHARE[0] / SHARE[1]) - 1
+        return pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(
+            (F.col("c") + need) * (SHARE[0] + SHARE[1]) >= (F.col("n") + F.col("m")) * SHARE[0]
+        )
+
     pairs = posts.join(heads, "s").where((F.col("o") != F.col("head.o")) & bounded("n", "head.n"))
-    found = checked(rows, pairs.select(F.col("head.o.row").alias("a"), F.col("_row").alias("b")), text, size)
-    left = materialize(without(posts.join(heads.where("k > 2").select("s"), "s"), found), "near-left")
+    pairs = enough(pairs.select(F.col("head.o.row").alias("a"), F.col("_row").alias("b"), "n", F.col("head.n").alias("m")))
+    found = checked(rows, pairs, text, size)
+    left = materialize(without(posts.join(heads.select("s"), "s"), found), "near-left")
     other = left.select("s", F.col("_row").alias("a"), F.col("o").alias("before"), F.col("n").alias("m"))
-    pairs = left.withColumnRenamed("_row", "b").join(other, "s").where((F.col("before") < F.col("o")) & bounded("n", "m"))
+    pairs = enough(left.withColumnRenamed("_row", "b").join(other, "s").where((F.col("before") < F.col("o")) & bounded("n", "m")))
     gone = materialize(gone.unionAll(found).unionAll(checked(rows, pairs, text, size)).distinct(), "near-gone")
     return without(rows, gone).select(*df.columns)
