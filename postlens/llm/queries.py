@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, decontaminate, language, pieces, quality, quotes, repeats, simhash, toxicity, warc
+from . import align, bytebpe, centroids, decontaminate, language, pieces, quality, quotes, repeats, simhash, toxicity, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,79 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.captures(pages.select("url", "page_id"), warc.archive_pages(pages))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of the rounds."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+              SELECT v.r, c.k, list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j])))::BIGINT AS d
+              FROM v, c{i} AS c) GROUP BY r)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} AS c LEFT JOIN (
+                  SELECT k, list(q ORDER BY j) AS x FROM (
+                    SELECT k, j, ((sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS q
+                    FROM (SELECT a.k, v.x, unnest(range(1, 65)) AS j FROM a{i} AS a JOIN v USING (r)) GROUP BY k, j) GROUP BY k) AS m USING (k))"""
+            )
+    return ",\n".join(steps)
+
+
+#: Whole distances to all centroids, three rounds of floored means.
+CLUSTER_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (
+  SELECT sha256('1:' || vec_id::VARCHAR) AS h, x FROM v ORDER BY h LIMIT 16)),
+{_rounds_sql(centroids.ROUNDS)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN v USING (r) JOIN c{centroids.ROUNDS} AS c USING (k)
+"""
+
+
+@query("op11_centroid_clustering", CLUSTER_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustering(table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Labels of hosts whose pages make up the list of blocked URLs.
+LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+_LISTED_HOST = rf"(^|\.)({'|'.join(LISTED_LABELS)})(\.|$)"
+
+#: Rules by comparison of whole hosts and paths, the list by an IN.
+URL_SQL = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id,
+    coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+canon AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS c FROM u),
+rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)}),
+parts AS (SELECT *, regexp_extract(rule, '^[^/]*') AS rhost, regexp_extract(rule, '/.*$') AS rpath FROM rules),
+best AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM u JOIN parts ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
+list AS (SELECT DISTINCT c FROM canon WHERE regexp_matches(host, '{_LISTED_HOST}') AND c <> '')
+SELECT page_id, host, path, rule, host <> '' AND c IN (SELECT c FROM list) AS listed,
+  coalesce(verdict, CASE WHEN host <> '' AND c IN (SELECT c FROM list) THEN 'block' ELSE 'allow' END) AS verdict
+FROM canon LEFT JOIN best USING (r)
+"""
+
+
+@query("op12_url_filters", URL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first, then the canonical URLs of all pages on hosts with a listed label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_and_path(pages["url"])
+    listed = pages.where(host.rlike(_LISTED_HOST)).select(url_filter.canonical(host, path).alias("url"))
+    return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES), listed)
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
