@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,44 +40,77 @@ ROWS = 64
 #: One in so many (document, pair) rows makes a pair a frequent one.
 FREQUENT = 1 << 18
 
+BLANK = "▁"
 _UNEVEN = re.compile(r" \s|\s |^ | $").search
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _BYTE = re.compile(r"<0x[0-9A-F]{2}>").fullmatch
 
-#: Ids in decimal and token lengths of both tokenizers; None where the bytes differ from the text's.
-Word = tuple[list[str], list[int], list[str], list[int]] | None
+#: A and B ids as int32 bytes; None where the tokens' bytes differ from the text's.
+Word = tuple[bytes, bytes] | None
 
 
-def gallop(short: list[int], long: list[int]) -> list[int]:
-    """For each of ``short`` how many of ``long`` are smaller; both ascend."""
-    ranks, low, n = [], 0, len(long)
-    for x in short:
-        step, high = 1, low
-        while high < n and long[high] < x:
-            low, high, step = high + 1, high + step, 2 * step
-        low = bisect_left(long, x, low, min(high, n))
-        ranks.append(low)
-    return ranks
+def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """For each of ``short`` how many of ``long`` are smaller; both ascend.
 
-
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """(cuts, a, b) of two lists of token ends over the same bytes, neither empty.
-
-    ``cuts`` has, for each common end, how many A and B tokens end up to it;
+    All ends search at once: each starts from where its place in the shorter
+    list would be in the longer, steps 1, 2, 4, ... to the side where its rank
+    lies until it is bracketed, and then halves the bracket.
+    """
+    n, m = len(long), len(short)
+    if not m or not n:
+        return np.zeros(m, np.int64)
+    high = np.minimum(np.arange(m) * n // m, n - 1)
+    smaller = long[high] < short  # the rank lies above
+    low = np.where(smaller, high + 1, 0)
+    high = np.where(smaller, n, high)  # low <= rank <= high
+    step, up, down = 1, np.flatnonzero(smaller), np.flatnonzero(~smaller)
+    while len(up):
+        probe = low[up] + step - 1
+        inside = probe < n
+        up, probe = up[inside], probe[inside]
+        above = long[probe] < short[up]
+        high[up[~above]] = probe[~above]
+        up = up[above]
+        low[up] = probe[above] + 1
+        step *= 2
+    step = 1
+    while len(down):
+        probe = high[down] - step
+        inside = probe >= 0
+        down, probe = down[inside], probe[inside]
+        below = long[probe] < short[down]
+        low[down[below]] = probe[below] + 1
+        down = down[~below]
+        high[down] = probe[~below]
+        step *= 2
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        above = long[middle] < short[open_]
+        low[open_[above]] = middle[above] + 1
+        high[open_[~above]] = middle[~above]
+        open_ = open_[low[open_] < high[open_]]
+    return low
+
+
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a_cuts, b_cuts, a, b) of two lists of token ends over the same bytes, neither empty.
+
+    The cuts say, for each common end, how many A and B tokens end up to it;
     ``a`` and ``b`` are the numbers of the tokens of each link.  No token is empty.
     """
     swapped = len(b_ends) < len(a_ends)
     short, long = (b_ends, a_ends) if swapped else (a_ends, b_ends)
-    ranks = np.array(gallop(short, long), np.int64)
-    common = np.array(long, np.int64)[ranks] == np.array(short, np.int64)
-    at = np.flatnonzero(common)
-    cuts = list(zip((ranks[at] + 1).tolist(), (at + 1).tolist()) if swapped else zip((at + 1).tolist(), (ranks[at] + 1).tolist()))
+    ranks = gallop(short, long)
+    common = long[ranks] == short
+    mine_cuts = np.flatnonzero(common) + 1
+    their_cuts = ranks[common] + 1
     # a token starts where the one before ended: in the token of that rank, or behind it if the end is common
     first = np.concatenate(([0], (ranks + common)[:-1]))
     overlaps = ranks - first + 1
     mine = np.repeat(np.arange(len(short)), overlaps)
-    theirs = np.arange(len(mine)) - np.repeat(np.cumsum(overlaps) - overlaps, overlaps) + np.repeat(first, overlaps)
-    return (cuts, theirs, mine) if swapped else (cuts, mine, theirs)
+    theirs = np.arange(len(mine)) + np.repeat(first - np.cumsum(overlaps) + overlaps, overlaps)
+    return (their_cuts, mine_cuts, theirs, mine) if swapped else (mine_cuts, their_cuts, mine, theirs)
 
 
 class Pair:
@@ -90,48 +122,62 @@ class Pair:
         self.a.no_truncation()
         self.a.no_padding()
         numbers = {c: i for i, c in enumerate(byte_letters())}
-        self.a_bytes = {
-            i: bytes(numbers[c] for c in t) if all(c in numbers for c in t) else t.encode("utf-8")
-            for t, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
+        vocab = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.a_bytes[i] = bytes(numbers[c] for c in token) if all(c in numbers for c in token) else token.encode("utf-8")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        self.b_bytes = {}
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            self.b_bytes[i] = bytes([int(piece[3:5], 16)]) if _BYTE(piece) else piece.replace("▁", " ").encode("utf-8")
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if _BYTE(p) else p.replace(BLANK, " ").encode("utf-8") for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # what a token adds to the groups' text: twice its number, and one more if it ends its side of the group
+        self.told = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
+        self.told += [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
         self.words: dict[str, Word] = {}
         self.held = 0
 
-    def _encode(self, words: list[str]) -> Iterator[Word]:
-        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        for word, x, b_ids in zip(words, a, self.b.encode(words, num_threads=1)):
-            a_ids = x.ids
-            a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            want = b" " + word.encode("utf-8")
-            if b"".join(a_parts) != want or b"".join(b_parts) != want:
-                yield None
-            else:
-                yield list(map(str, a_ids)), list(map(len, a_parts)), list(map(str, b_ids)), list(map(len, b_parts))
-
-    def encode(self, words: list[list[str]]) -> list[list[Word]]:
+    def _fits(self, a_ids: list[int], b_ids: list[int], want: bytes) -> bool:
+        return b"".join([self.a_bytes[i] for i in a_ids]) == want and b"".join([self.b_bytes[i] for i in b_ids]) == want
+
+    def _alone(self, word: str) -> Word:
+        a_ids, b_ids = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)
+        if not self._fits(a_ids, b_ids, b" " + word.encode("utf-8")):
+            return None
+        return np.array(a_ids, np.int32).tobytes(), np.array(b_ids, np.int32).tobytes()
+
+    def _together(self, words: list[str]) -> list[Word]:
+        """The tokens of each of ``words``, encoded as one text; none has white space at its ends."""
+        text = " ".join(words)
+        a_ids, b_ids = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        if not self._fits(a_ids, b_ids, b" " + text.encode("utf-8")):
+            return list(map(self._alone, words))
+        ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
+        sides = []
+        for ids, sizes in ((a_ids, self.a_sizes), (b_ids, self.b_sizes)):
+            ids = np.array(ids, np.int32)
+            data = ids.tobytes()
+            cuts = (4 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)).tolist()
+            sides.append([data[i:j] for i, j in zip([0, *cuts], cuts)])
+        return list(zip(*sides))
+
+    def encode(self, texts: list[list[str]]) -> list[list[Word]]:
         """The words of several texts, each different one encoded once."""
         known = self.words
-        new = list({w for text in words for w in text if w not in known})
-        fresh: dict[str, Word] = {}
-        if new:
-            if self.held > MEMO_BYTES:
-                new = list({w for text in words for w in text})
-                known.clear()
-                self.held = 0
-            for word, value in zip(new, self._encode(new)):
-                if len(word) <= WORD:
-                    known[word] = value
-                    self.held += 400 + 4 * len(word) + (0 if value is None else 40 * (len(value[0]) + len(value[2])))
-                else:
-                    fresh[word] = value
-        if fresh:
-            return [[fresh[w] if w in fresh else known[w] for w in text] for text in words]
-        return [[known[w] for w in text] for text in words]
+        if self.held > MEMO_BYTES:
+            known.clear()
+            self.held = 0
+        new = list({w for words in texts for w in words if w not in known})
+        plain = [w for w in new if w and BLANK not in w and not w[0].isspace() and not w[-1].isspace()]
+        fresh = dict(zip(plain, self._together(plain))) if plain else {}
+        for word in new:
+            if word not in fresh:
+                fresh[word] = self._alone(word)
+        out = [[fresh[w] if w in fresh else known[w] for w in words] for words in texts]
+        for word, value in fresh.items():
+            if len(word) <= WORD:
+                known[word] = value
+                self.held += 250 + 4 * len(word) + (0 if value is None else len(value[0]) + len(value[1]))
+        return out
 
 
 def words_of(text: str) -> list[str]:
@@ -154,32 +200,36 @@ def parts_of(words: list[str], limit: int = PART) -> Iterator[list[str]]:
 class Aligned:
     """What is gathered about one text, part by part."""
 
-    def __init__(self):
+    def __init__(self, pair: Pair):
+        self.pair = pair
         self.n_a = self.n_b = self.n_groups = self.n_links = 0
         self.digest, self.keys, self.times, self.fits = hashlib.sha256(), [], [], True
 
     def add(self, words: list[Word]) -> None:
-        a, a_sizes, b, b_sizes = [], [], [], []
-        for word in words:
-            if word is None:
-                self.fits = False
-                return
-            a += word[0]
-            a_sizes += word[1]
-            b += word[2]
-            b_sizes += word[3]
-        cuts, left, right = align(np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist())
-        groups, i, j = [], 0, 0
-        for p, q in cuts:
-            groups.append(f"{a[i]}|{b[j]}" if p - i == q - j == 1 else f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-            i, j = p, q
-        self.digest.update(((";" if self.n_groups else "") + ";".join(groups)).encode())
+        if None in words:
+            self.fits = False
+            return
+        pair = self.pair
+        a, b = (np.frombuffer(b"".join([w[side] for w in words]), np.int32).astype(np.int64) for side in (0, 1))
+        a_cuts, b_cuts, left, right = align(np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b]))
+        # the groups' text: each group's A tokens and then its B tokens
+        told_a, told_b = 2 * a, 2 * (b + len(pair.a_bytes))
+        told_a[a_cuts - 1] += 1
+        told_b[b_cuts - 1] += 1
+        a_before, b_before = np.concatenate(([0], a_cuts[:-1])), np.concatenate(([0], b_cuts[:-1]))
+        told = np.empty(len(a) + len(b), np.int64)
+        told[np.arange(len(a)) + np.repeat(b_before, a_cuts - a_before)] = told_a
+        told[np.arange(len(b)) + np.repeat(a_cuts, b_cuts - b_before)] = told_b
+        names = pair.told
+        text = "".join([names[i] for i in told.tolist()])
+        if self.n_groups:
+            self.digest.update(b";")
+        self.digest.update(text[:-1].encode())
         self.n_a += len(a)
         self.n_b += len(b)
-        self.n_groups += len(groups)
+        self.n_groups += len(a_cuts)
         self.n_links += len(left)
-        keys = np.array(a, np.int64)[left] << 32 | np.array(b, np.int64)[right]
-        keys, times = np.unique(keys, return_counts=True)
+        keys, times = np.unique(a[left] << 32 | b[right], return_counts=True)
         self.keys.append(keys)
         self.times.append(times)
 
@@ -202,13 +252,13 @@ def align_texts(pair: Pair, texts: list[str | None]) -> list[tuple]:
         if text and len(text) <= PART:
             short.append(i)
             continue
-        found = Aligned()
+        found = Aligned(pair)
         for part in parts_of(words_of(text)) if text else ():
             if found.fits:
                 found.add(pair.encode([part])[0])
         rows[i] = found.row()
     for i, words in zip(short, pair.encode([words_of(texts[i]) for i in short])):
-        found = Aligned()
+        found = Aligned(pair)
         found.add(words)
         rows[i] = found.row()
     return rows

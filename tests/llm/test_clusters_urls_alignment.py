@@ -211,7 +211,7 @@ def test_gallop():
     for _ in range(300):
         long = sorted(rng.sample(range(400), rng.randint(1, 200)))
         short = sorted(rng.sample(range(400), rng.randint(0, 60)))
-        assert align.gallop(short, long) == [sum(x < s for x in long) for s in short]
+        assert align.gallop(np.array(short, np.int64), np.array(long)).tolist() == [sum(x < s for x in long) for s in short]
 
 
 @pytest.mark.parametrize("part, frequent", [(align.PART, align.FREQUENT), (40, 3)])
