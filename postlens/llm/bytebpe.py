@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows
+from .common import Memo, map_rows, share
 
 #: Splits text before the merges; fixed, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,10 +151,10 @@ def token_counts(
     fixed in size and broadcast.  Null counts as the empty text, 0 tokens.
     """
     with open(vocabulary, encoding="utf-8") as file:
-        shared = df.sparkSession.sparkContext.broadcast(ByteVocabulary(file.read()))
+        shared = share(df.sparkSession, ByteVocabulary(file.read()))
 
     def work():
-        count = shared.value.counter()
+        count = shared().counter()
 
         def rows(texts):
             out = []

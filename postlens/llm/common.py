@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
@@ -18,14 +20,17 @@ __all__ = [
     "map_rows",
     "materialize",
     "scratch_path",
+    "share",
     "table",
 ]
 
 BROADCAST_BYTES = 32 << 20
 #: Words that one worker remembers; beyond it they are worked out again.
 MEMO_WORDS = 400_000
-#: Rows that a map holds as Python objects at a time.
-ROWS = 500
+#: Longest key, in characters, that is remembered.
+MEMO_KEY = 256
+#: Rows and bytes of text that a map holds as Python objects at a time; one row may be longer.
+ROWS, ROW_BYTES = 500, 4 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -34,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Memo(dict):
-    """A bounded memo of ``work(key)``, filled on first use."""
+    """A bounded memo of ``work(key)``, filled on first use; long keys are worked out each time."""
 
     def __init__(self, work: Callable, limit: int = MEMO_WORDS):
         super().__init__()
@@ -42,12 +47,41 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.work(key)
+        if len(key) > MEMO_KEY:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[key] = value
         return value
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """A function for tasks that gives ``value``, an object whose attributes are plain data.
+
+    Only the attributes are broadcast; the class travels with the function, so
+    executors need no copy of this package.
+    """
+    kind, state = type(value), spark.sparkContext.broadcast(vars(value))
+
+    def load():
+        found = object.__new__(kind)
+        found.__dict__.update(state.value)
+        return found
+
+    return load
+
+
+def slices(texts: pa.Array, rows: int = ROWS, size: int = ROW_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts within both bounds, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield at, min(n, len(ends) - at)
+        at += n
+
+
 def map_rows(
     df: DataFrame,
     keep: Iterable[str],
@@ -70,8 +104,8 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = work()
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at, n in slices(whole.column(len(keep))):
+                batch = whole.slice(at, n)
                 columns = list(zip(*call(batch.column(len(keep)).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in range(len(keep))]

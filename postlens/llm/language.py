@@ -13,7 +13,6 @@ in it.  What reaches the driver is one number per piece and language.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -21,22 +20,27 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_fold, map_rows
+from .common import in_fold, map_rows, share
 
 BLANK = "▁"
 UNKNOWN = "und"
-#: Longer runs of letters are scored in stretches of this length, against underflow.
-STRETCH = 32
+#: Longer runs of letters are summed one by one, with the values scaled against underflow.
+LONG = 32
+#: Longest piece of a vocabulary, and after so many letters values are scaled.
+REACH, SCALED = 64, 16
 #: Share of a letter that no piece covers, the same for all languages.
 NO_PIECE = 1e-6
 #: Words that one worker remembers, about 150 MB with four languages.
 MEMO_WORDS = 800_000
 #: Texts are scored in blocks of about so many characters.
 BLOCK = 1 << 21
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are kept; beyond it they are worked out again.
+MEMO_CHARS = 32 << 20
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str) -> list[str]:
@@ -57,13 +61,6 @@ def matcher(pieces: list[str]) -> ahocorasick.Automaton:
     return automaton
 
 
-def stretches(word: str) -> list[str]:
-    """The letters of a word behind a blank sign, cut where they run long."""
-    if len(word) <= STRETCH:
-        return [BLANK + word]
-    return [BLANK * (not i) + word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, word, n: how often each lower-case run of letters stands in the texts of a language."""
     return (
@@ -95,9 +92,8 @@ def learn(docs: DataFrame, vocabulary_path: str, text: str = "text", lang: str =
         for batch in batches:
             for name, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 count = total.setdefault(name, Counter())
-                for part in stretches(word):
-                    for _, (i, _) in found.iter(part):
-                        count[i] += n
+                for _, (i, _) in found.iter(BLANK + word):
+                    count[i] += n
         for name, count in total.items():
             yield pa.RecordBatch.from_arrays(
                 [
@@ -137,11 +133,21 @@ class Scorer:
             self.found.add_word(piece, i << 6 | len(piece))
         self.found.make_automaton()
         self.rows: dict[str, int] = {}
+        self.chars = 0
         self.logs = np.zeros((1 << 16, len(self.names)))
         self.used = 1
 
     def forward(self, parts: list[str]) -> np.ndarray:
         """Per part and language, the logarithm of the summed probability of all segmentations."""
+        long = [i for i, p in enumerate(parts) if len(p) > LONG + 1]
+        if long:
+            logs = np.zeros((len(parts), len(self.names)))
+            short = [i for i, p in enumerate(parts) if len(p) <= LONG + 1]
+            if short:
+                logs[short] = self.forward([parts[i] for i in short])
+            for i in long:
+                logs[i] = self._forward_long(parts[i])
+            return logs
         flat: list[int] = []
         counts = []
         for part in parts:
@@ -167,14 +173,34 @@ class Scorer:
             ways[e, missed] = ways[e - 1, missed] * NO_PIECE  # no piece ends here
         return np.log(ways[lengths, np.arange(len(parts))])
 
+    def _forward_long(self, part: str) -> np.ndarray:
+        """The same for one part of any length; only the values a piece can reach back to are held."""
+        ways = np.zeros((REACH, len(self.names)))
+        ways[0] = 1
+        scale = np.zeros(len(self.names))
+        ends: dict[int, list[int]] = {}
+        at = 0
+        for last, value in chain(self.found.iter(part), [(len(part), 0)]):
+            while at < min(last, len(part)):  # all pieces that end at this letter are there
+                e, found = at + 1, ends.pop(at, None)
+                new = sum(ways[(e - (v & 63)) % REACH] * self.share[v >> 6] for v in found) if found else None
+                ways[e % REACH] = ways[at % REACH] * NO_PIECE if new is None or not new[0] else new
+                if e % SCALED == 0:
+                    most = ways.max(axis=0)
+                    ways /= most
+                    scale += np.log(most)
+                at = e
+            ends.setdefault(last, []).append(value)
+        return np.log(ways[len(part) % REACH]) + scale
+
     def _learn(self, words: set[str]) -> None:
-        if self.used + len(words) > self.limit:
+        if self.used + len(words) > self.limit or self.chars > MEMO_CHARS:
             self.rows.clear()
-            self.used = 1
+            self.used, self.chars = 1, 0
         new = list(words - self.rows.keys())
         for at in range(0, len(new), 10_000):
             block = new[at : at + 10_000]
-            parts = [[p for run in LETTERS.findall(w) for p in stretches(run)] for w in block]
+            parts = [[BLANK + run for run in LETTERS.findall(w)] for w in block]
             owner = np.repeat(np.arange(len(block)), list(map(len, parts)))
             total = np.zeros((len(block), len(self.names)))
             if len(owner):
@@ -187,6 +213,7 @@ class Scorer:
             self.logs[self.used : end] = total
             self.rows.update((w, self.used + i if ps else 0) for i, (w, ps) in enumerate(zip(block, parts)))
             self.used = end
+            self.chars += sum(map(len, block))
 
     def _predict(self, words: list[str]) -> tuple[str, float]:
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -220,10 +247,10 @@ def identify(df: DataFrame, model: Languages, doc_id: str = "doc_id", text: str
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned; equal likelihoods go to the first name.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, model)
 
     def work():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared())
         return lambda texts: list(scorer.predict(texts))
 
     return map_rows(df, [doc_id], text, [("lang_pred", pa.string()), ("score", pa.float64())], work)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows
+from .common import Memo, map_rows, share
 
 BLANK = "▁"
 #: What the unknown piece decodes to; fixed.
@@ -204,8 +204,8 @@ _WAITING = re.compile("[\udc80-\udcff]+")
 
 def load(spark_df: DataFrame, path: str) -> Callable[[], Encoder]:
     """A function for tasks that gives an encoder; the model's tables, fixed in size, are broadcast."""
-    shared = spark_df.sparkSession.sparkContext.broadcast(PieceModel(path))
-    return lambda: Encoder(shared.value)
+    model = share(spark_df.sparkSession, PieceModel(path))
+    return lambda: Encoder(model())
 
 
 def encode(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +266,11 @@ def round_trip(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "t
 
 
 def encode_rows(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``df`` with ``text`` as its ids decode, and ids (array of int, end id last) and n_tokens."""
+    """``df`` with ``text`` as its ids decode, and ids (array of int, end id last) and n_tokens.
+
+    A null or empty text has the end id alone and becomes the empty text; a
+    repeated row is a row of its own.  Columns ids and n_tokens of ``df`` are replaced.
+    """
     encoder = load(df, model)
     keep = [c for c in df.columns if c not in (text, "ids", "n_tokens")]
 

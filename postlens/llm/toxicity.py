@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_bounded, in_fold, map_rows, materialize
+from .common import broadcast_if_bounded, in_fold, map_rows, materialize, share
 
 ORDER = 6
 BACKOFF = 3
@@ -223,10 +223,10 @@ class Scorer:
 
 
 def ratios(df: DataFrame, counts, parts: tuple[int, ...], keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and the ratio x of each text; ``counts`` is a broadcast of Counts."""
+    """``keep`` and the ratio x of each text; ``counts`` gives a task the shared Counts."""
 
     def work():
-        scorer = Scorer(counts.value, parts)
+        scorer = Scorer(counts(), parts)
         return lambda texts: [(x,) for x in scorer.ratios(texts)]
 
     return map_rows(df, keep, text, [("x", pa.float64())], work)
@@ -281,7 +281,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(broadcast_if_bounded(known), "doc_id").select(half.alias("half"), "toxic", "text"),
         "toxic-texts",
     )
-    counts = docs.sparkSession.sparkContext.broadcast(learn(learning))
+    counts = share(docs.sparkSession, learn(learning))
     other = ratios(learning.where("half = 0"), counts, (1,), ["toxic"]).unionAll(
         ratios(learning.where("half = 1"), counts, (0,), ["toxic"])
     )
