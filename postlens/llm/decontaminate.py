@@ -174,7 +174,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, judged row by row whatever their ids."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "bench-rows")
-    bad = contamination(rows, items, "_row", text).where("contaminated").select("_row")
-    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` in which no benchmark window occurs, judged row by row whatever their ids.
+
+    Null and empty texts stay, as do all rows where ``items`` has no words; the
+    columns of ``docs`` come back as they are, whatever their names.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("r"), F.struct(*docs.columns).alias("doc")), "bench-rows")
+    bad = contamination(rows.select("r", F.col(f"doc.`{text}`").alias("t")), items, "r", "t").where("contaminated").select("r")
+    return rows.join(bad, "r", "left_anti").select("doc.*")

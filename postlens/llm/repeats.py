@@ -41,6 +41,8 @@ CODE = 4
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 #: Bits of a bitmap, 8 MB.
 BITS = 1 << 26
+#: Longest period of a stretch that is shortened before its suffixes are sorted.
+PERIOD = 64
 #: Bytes a shard is meant to hold; it may hold any number, on disk.
 SHARD_BYTES = 3 << 20
 
@@ -186,20 +188,57 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
 
 
+def shortened(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """``data`` with its long periodic stretches cut to less than ``2 * (length + period)`` bytes, and where.
+
+    In a stretch that repeats itself every few bytes each string of ``length``
+    bytes repeats, before and after the cut, and strings that reach over an end
+    of the stretch see nothing of the cut: whole periods go from behind its first
+    ``length`` bytes.  A run of a million equal letters would else keep the
+    sorting busy with one suffix at a time.
+    """
+    cuts = []
+    for period in range(1, PERIOD + 1):
+        if len(data) <= 2 * (length + period):
+            break
+        same = np.concatenate([[False], data[period:] == data[:-period], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        start, size = edge[::2], edge[1::2] - edge[::2] + period
+        gone = np.maximum(size - 2 * length - period, 0) // period * period
+        start, gone = start[gone > 0], gone[gone > 0]
+        if not len(start):
+            continue
+        keep = np.ones(len(data), bool)
+        for a, n in zip((start + length).tolist(), gone.tolist()):
+            keep[a : a + n] = False
+        data, total = data[keep], np.cumsum(gone)
+        cuts.append((start + length - total + gone, total))
+    return data, cuts
+
+
+def unshortened(places: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]], side: str) -> np.ndarray:
+    """Places in shortened data as places in the whole; a cut lies before a start ("right") and behind an end ("left") at it."""
+    for at, total in reversed(cuts):
+        places = places + np.concatenate([[0], total])[np.searchsorted(at, places, side)]
+    return places
+
+
 def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
     """key, start, end of the bytes of repeated strings, shard by shard; ``parts``: key, m, first, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Folder() as folder:
-            keys, firsts, sizes = [], [], []
+            keys, firsts, sizes, cuts = [], [], [], []
             size = 0
             with open(f"{folder.path}/text", "wb") as file:
                 for batch in batches:
                     for key, m, first, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                        np.append(np.frombuffer(data, np.uint8).astype(np.int16) + 2, np.int16(1)).tofile(file)
+                        data, cut = shortened(np.frombuffer(data, np.uint8), length)
+                        np.append(data.astype(np.int16) + 2, np.int16(1)).tofile(file)
                         keys.append(key)
                         firsts.append(first)
                         sizes.append(len(data) + 1)
+                        cuts.append(cut)
                         size += len(data) + 1
                 np.zeros(1, np.int16).tofile(file)
             if not keys:
@@ -213,7 +252,8 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 if not len(edge):
                     continue
-                start, end = edge[::2] + firsts[i], edge[1::2] - 1 + firsts[i] + length
+                start = unshortened(edge[::2], cuts[i], "right") + firsts[i]
+                end = unshortened(edge[1::2] - 1 + length, cuts[i], "left") + firsts[i]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([keys[i]] * len(start), pa.binary()), pa.array(start), pa.array(end)],
                     names=["key", "start", "end"],

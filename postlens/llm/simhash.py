@@ -229,16 +229,20 @@ def near_duplicates(
     )
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
     """``df`` with one row of each component: that with the smallest id, the first of them if it is repeated.
 
-    Rows without a word stay as they are.  A row without an id cannot stand for
-    a group and stays here; ``nearcopies.keep_first`` drops it next to a copy.
+    Rows without an id come last in their component.  Null and empty texts have
+    the fingerprint 0 and are a component like any other.  The columns come back
+    as they are, whatever their names.
     """
-    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "keep-rows")
-    found = near_duplicates(rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")), "_row", text).where("copies > 1").select("_row", "component_id")
-    named = rows.where(F.col(doc_id).isNotNull())
-    placed = materialize(found.join(named.select("_row", F.struct(F.col(doc_id).alias("id"), "_row").alias("o")), "_row"), "keep-components")
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("r"), F.struct(*df.columns).alias("doc")), "keep-rows")
+    narrow = rows.select("r", F.col(f"doc.`{doc_id}`").alias("id"), F.col(f"doc.`{text}`").alias("t"))
+    found = near_duplicates(narrow, "r", "t", size, radius).where("copies > 1").select("r", "component_id")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "r").alias("o")
+    placed = materialize(found.join(narrow.select("r", order), "r"), "keep-components")
     heads = placed.groupBy("component_id").agg(F.min("o").alias("head"))
-    gone = placed.join(heads, "component_id").where("o <> head").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*df.columns)
+    gone = placed.join(heads, "component_id").where("o <> head").select("r")
+    return rows.join(gone, "r", "left_anti").select("doc.*")

@@ -243,3 +243,32 @@ def test_archives(spark):
     assert warc.captures(df, warc.archive_pages(nothing)).count() == 0
     lone = warc.with_record_type(df, least_bytes=5).where(F.col("refers_to").isNotNull() & (F.octet_length("payload") < 5))
     assert lone.count() == 0
+
+
+def test_long_periodic_texts_are_shortened_and_found_whole(spark):
+    rng = random.Random(21)
+    texts = ["a" * 1_000_000, "q" * 450 + "".join(rng.choice("bcd") for _ in range(300)), "ab" * 60_000 + "tail" + "ab" * 900, "so it goes " * 30_000 + "x", "z" * 400, "z" * 399]
+    rows = {r["doc_id"]: r for r in repeats.without_repeats(frame(spark, enumerate(texts))).collect()}
+    assert [rows[i]["n_removed"] for i in range(6)] == [1_000_000, 450, 121_800, 330_000, 0, 0]
+    assert [bytes(rows[i]["kept"]).decode() for i in (0, 2, 3)] == ["", "tail", "x"]
+
+
+def test_shortened_data_repeats_where_the_whole_does():
+    rng = random.Random(22)
+    for _ in range(200):
+        length = rng.choice([32, 40, 70])
+        data = b"".join(
+            bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 9))) * rng.randint(1, 60) + bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 20)))
+            for _ in range(rng.randint(1, 4))
+        )
+
+        def spans(x):
+            held = collections.Counter(x[i : i + length] for i in range(len(x) - length + 1))
+            hit = np.array([False, *(held[x[i : i + length]] > 1 for i in range(len(x) - length + 1)), False])
+            edge = np.flatnonzero(hit[1:] != hit[:-1])
+            return edge[::2], edge[1::2] - 1 + length
+
+        short, cuts = repeats.shortened(np.frombuffer(data, np.uint8), length)
+        start, end = spans(short.tobytes())
+        got = zip(repeats.unshortened(start, cuts, "right").tolist(), repeats.unshortened(end, cuts, "left").tolist())
+        assert list(got) == list(zip(*(x.tolist() for x in spans(data))))

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from postlens.llm.common import materialize
+from test_stages import fingerprint
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -14,7 +15,7 @@ def test_stages_take_effect(spark, tmp_path):
     passage, item = prose(90), prose(25)
     docs = dict(clean)
     docs[100] = clean[0]  # an exact copy
-    docs[101] = clean[1] + " tail"  # a near copy
+    docs[101] = clean[1] + " tail"  # a near copy: few bits apart, by the contract's fingerprints
     docs[102] = "%%% " * 80  # junk
     docs[103] = "short"
     docs[104], docs[105] = prose(80) + " " + passage, prose(80) + " " + passage
@@ -31,7 +32,8 @@ def test_stages_take_effect(spark, tmp_path):
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert sorted(now.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars"])
     assert ids[0] == {*docs, None} - {102, 103, 107}
-    assert {100} == ids[0] - ids[1] or {100, 101} == ids[0] - ids[1]
+    near = (fingerprint(docs[101]) ^ fingerprint(clean[1])).bit_count() <= 3
+    assert ids[0] - ids[1] == ({100, 101} if near else {100})
     assert ids[2] == ids[1] and ids[3] == ids[2] - {106} and ids[4] == ids[3]
     texts = {r["doc_id"]: r for r in now.collect()}
     assert passage not in texts[104]["text"] and passage not in texts[105]["text"]
