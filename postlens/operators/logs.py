@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
 from ..functions.text import trim_space
 from ..session import broadcast_if_small
+from .anchors import with_window_start
 
 _SALTS = 32
 
@@ -24,17 +27,26 @@ def rate_limit(
     id_col: str = "request_id",
     window_seconds: int = 60,
     max_requests: int = fixed.RATE_LIMIT_PER_MINUTE,
+    anchored: bool = False,
+    anchor: Column | None = None,
 ) -> DataFrame:
     """Add ``allowed``: is the request among its tenant's first in the window?
 
-    Windows are calendar windows.  A tenant may send most of the traffic, so
-    its requests are not ranked in one task: the first ``max_requests`` are
-    found per salted part (a group limit before the shuffle), then among those,
-    and every request compares itself with the last allowed one.
+    Windows are calendar windows; with ``anchored`` they are those of all
+    tenants together that start anew at the first request a full length or more
+    after the last start (``anchor`` is the first start, else the first request
+    is).  Requests before that start, or without a time, are allowed.  A tenant
+    may send most of the traffic, so its requests are not ranked in one task:
+    the first ``max_requests`` are found per salted part (a group limit before
+    the shuffle), then among those, and every request compares itself with the
+    last allowed one.
     """
-    start = window_index(F.col(ts_col), window_seconds)
     order = F.struct(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
-    marked = df.withColumns({"_start": start, "_order": order})
+    if anchored:
+        placed = with_window_start(df, ts_col, window_seconds, "_start", anchor)
+    else:
+        placed = df.withColumn("_start", window_index(F.col(ts_col), window_seconds))
+    marked = placed.withColumn("_order", order)
     narrow = marked.select(
         tenant_col, "_start", "_order", F.pmod(F.xxhash64(id_col), F.lit(_SALTS)).alias("_salt")
     )
@@ -44,7 +56,7 @@ def rate_limit(
         return frame.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_requests)
 
     group = (tenant_col, "_start")
-    allowed_rows = first(first(narrow, *group, "_salt"), *group)
+    allowed_rows = first(first(narrow.where(F.col("_start").isNotNull()), *group, "_salt"), *group)
     last = allowed_rows.where(F.col("_rank") == max_requests).select(*group, F.col("_order").alias("_last"))
     joined = marked.join(broadcast_if_small(last), list(group), "left")
     allowed = F.coalesce(F.col("_order") <= F.col("_last"), F.lit(True))
@@ -167,6 +179,17 @@ def job_state(
     )
 
 
+def job_durations(states: DataFrame, keys: Sequence[str] = ("tenant_id", "status")) -> DataFrame:
+    """Jobs per key, how many have ended, and the total and longest time from creation to end.
+
+    ``states`` has created_at and completed_at in seconds.
+    """
+    took = F.col("completed_at") - F.col("created_at")
+    return states.groupBy(*keys).agg(
+        F.count("*").alias("jobs"), F.count(took).alias("ended"), F.sum(took).alias("total_seconds"), F.max(took).alias("longest_seconds")
+    )
+
+
 def feedback_labels(
     feedback: DataFrame,
     inference: DataFrame,

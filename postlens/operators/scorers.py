@@ -101,18 +101,25 @@ def run_external_model(
     infer: Callable[[pd.DataFrame], pd.DataFrame],
     added: StructType,
     contributions_key: str = "feature_contributions",
+    text_cols: Sequence[str] = ("text",),
+    max_chars: int | None = fixed.CLEAN_MAX_CHARS,
 ) -> DataFrame:
     """Batch inference by a user function over Arrow batches.
 
+    The model sees the first ``max_chars`` characters of ``text_cols``; the
+    columns of ``df`` come back uncut.
     ``infer`` gets a batch and returns the columns of ``added``, row for row.
     If ``added`` has a ``result`` map that carries its contributions under
     ``contributions_key`` (a map of numbers as JSON), they are moved out into
     a column of that name.
     """
 
+    cut = [c for c in text_cols if c in df.columns] if max_chars is not None else []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answer = infer(batch).set_axis(batch.index, axis=0)
+            shown = batch.assign(**{c: batch[c].map(lambda t: t[:max_chars], na_action="ignore") for c in cut})
+            answer = infer(shown).set_axis(batch.index, axis=0)
             yield pd.concat([batch, answer[added.names]], axis=1)
 
     out = df.mapInPandas(run, StructType(df.schema.fields + added.fields))

@@ -1,6 +1,6 @@
 """Named queries over the standard tables, each with its SQL where one exists."""
 
-from . import data_queries, log_queries, model_queries, text_queries  # noqa: F401
+from . import data_queries, insight_queries, log_queries, model_queries, service_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,6 +6,7 @@ from .. import fixed
 from ..operators import metrics as m, rouge as r, search
 from ..functions import scoring
 from ..plans import evaluate as ev, train
+from ..session import scratch_path
 from . import base as b
 from .base import query, table
 from .data_queries import LAB, PAIRS, numbered_pairs
@@ -184,6 +185,26 @@ def evaluation_report(spark, sf):
     return rounded(short, "precision", "recall", "f1", "roc_auc", "average_precision")
 
 
+@query(
+    "evaluation_report_file",
+    f"""WITH {METRICS}, lat AS (SELECT CASE doc_id % 2 WHEN 0 THEN 'terms' ELSE 'links' END AS model, (doc_id % 97)::DOUBLE AS ms FROM documents)
+    SELECT model, task, support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1, round(l.mean_ms, 6) AS mean_ms, round(l.p95_ms, 6) AS p95_ms,
+      p >= CASE WHEN task = 'spam-classification' THEN 0.9 ELSE 0.92 END AND r >= CASE WHEN task = 'spam-classification' THEN 0.85 ELSE 0.88 END
+        AND f1 >= CASE WHEN task = 'spam-classification' THEN 0.88 ELSE 0.9 END AS promoted
+    FROM met JOIN (SELECT model, avg(ms) AS mean_ms, quantile_cont(ms, 0.95) AS p95_ms FROM lat GROUP BY model) l USING (model)""",
+)
+def evaluation_report_file(spark, sf):
+    """The report with latencies, written as JSON lines and read back."""
+    said = predictions(spark, sf)
+    model = F.when(F.col("doc_id") % 2 == 0, "terms").otherwise("links")
+    timed = table(spark, sf, "documents").select(model.alias("model"), (F.col("doc_id") % 97).cast("double").alias("latency_ms"))
+    tasks = F.when(F.col("model") == "terms", fixed.TASK_SPAM).otherwise(fixed.TASK_PHISHING)
+    path = scratch_path(spark, "report")
+    ev.evaluate(said, m.gate_table(spark), latencies=timed.withColumn("task", tasks), report_path=path)
+    schema = "model string, task string, support long, precision double, recall double, f1 double, mean_ms double, p95_ms double, promoted boolean"
+    return rounded(spark.read.schema(schema).json(path), "precision", "recall", "f1", "mean_ms", "p95_ms")
+
+
 # ---- ROUGE -------------------------------------------------------------------------------
 
 

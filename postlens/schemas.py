@@ -1,6 +1,7 @@
 """Table schemas."""
 
 from pyspark.sql.types import (
+    BooleanType,
     DoubleType,
     IntegerType,
     LongType,
@@ -55,3 +56,13 @@ FEEDBACK = _schema(
     attributes=MapType(StringType(), StringType()),
     created_at=TimestampType(),
 )
+RUN = _schema(
+    task=StringType(),
+    run_id=StringType(),
+    at=TimestampType(),
+    precision=DoubleType(),
+    recall=DoubleType(),
+    f1=DoubleType(),
+    promoted=BooleanType(),
+    failure_reason=StringType(),
+)

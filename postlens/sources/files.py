@@ -126,6 +126,35 @@ def read_csv_corpus(spark: SparkSession, root: str, source: str, *, multi_line:
     return out
 
 
+def skipped_csv(spark: SparkSession, root: str) -> DataFrame:
+    """file, bytes and reason of the CSV files under ``root`` that :func:`read_csv_corpus` leaves out.
+
+    "unreadable" has no line that the reader could get, "no text or label
+    column" a header in which a column could not be guessed.  Files without a
+    byte have nothing to leave out and are not listed.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .load(root)
+        .select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.col("length").alias("bytes"))
+    )
+    known, unusable = [], []
+    for header, names in _headers(spark, root).items():
+        columns = _column_names(header)
+        found = [guess_column(columns, c) for c in (fixed.TEXT_COLUMN_CANDIDATES, fixed.LABEL_COLUMN_CANDIDATES)]
+        (unusable if None in found else known).extend(names)
+    listed = [(_plain_path(n), False) for n in known] + [(_plain_path(n), True) for n in unusable]
+    seen = spark.createDataFrame(listed, "file string, unusable boolean")
+    reason = F.when(F.col("unusable"), "no text or label column").when(F.col("unusable").isNull(), "unreadable")
+    return files.join(seen, "file", "left").select("file", "bytes", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _plain_path(path: str) -> str:
+    return re.sub(r"^file:/+", "/", re.sub(r"\\([\[\]{}*?\\])", r"\1", path))
+
+
 def labelled(df: DataFrame, text_col: str, label_col: str, source: str, keep: Sequence[str] = ()) -> DataFrame:
     """(text, label, source) with a normalised label; unusable rows are dropped."""
     rows = df.select(
