@@ -1,10 +1,12 @@
 """Tokens, rules, language and toxicity against the libraries, brute force and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -46,6 +48,32 @@ def by_text(df, rows, *columns):
     return got, rows
 
 
+def test_long_runs_are_summed_over_all_segmentations():
+    rng, names = random.Random(8), vocabulary_sample()
+    model = language.Languages(["a", "b"], names, np.array([[rng.randint(0, 9), rng.randint(0, 9)] for _ in names], float))
+    scorer = language.Scorer(model)
+    for n in (40, 64, 65, 130, 700):
+        part = "▁" + "".join(rng.choice(["abc", "de", "a", "b", "ü"]) for _ in range(n))
+        for k in range(2):  # exact, with logarithms at each place
+            logs = [0.0]
+            for e in range(1, len(part) + 1):
+                ways = [logs[e - len(p)] + math.log(model.share[i, k]) for i, p in enumerate(names) if part.endswith(p, 0, e)]
+                most = max(ways, default=logs[-1] + math.log(language.NO_PIECE))
+                logs.append(most + math.log(sum(math.exp(w - most) for w in ways)) if ways else most)
+            assert scorer.forward([part, "▁a"])[0, k] == pytest.approx(logs[-1], rel=1e-9)
+
+
+def vocabulary_sample():
+    return ["▁", "▁a", "▁abc", "a", "b", "c", "ab", "abc", "bc", "d", "de", "e", "cde", "abcde", "deab"]
+
+
+def test_only_letters_make_a_language(spark):
+    rows = [(i, t, lang, None, None) for i, (t, lang) in enumerate([("½ ② ①", "en"), ("12 ²", None), ("one two three", "en"), ("eins zwei drei", "de")] * 6)]
+    got = language.language_id(spark.createDataFrame(rows, SCHEMA), MODEL).collect()
+    assert all((r["lang_pred"] == "und") == (r["doc_id"] % 4 < 2) and (r["lang_pred"] != "und" or r["score"] == 0) for r in got)
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] % 4 == 2 else "de") for r in got if r["doc_id"] % 4 > 1)
+
+
 def test_pieces_equal_the_library_on_random_strings():
     encoder = pieces.Encoder(pieces.PieceModel(MODEL))
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
