@@ -94,11 +94,11 @@ def acceptance_rate(spark, sf):
 @query("stream_acceptance", f"WITH {ANSWERS} SELECT tenant_id, {_RATES} FROM closed GROUP BY tenant_id")
 def stream_acceptance(spark, sf):
     """The same from two streams, over inferences whose interval has closed with a day to spare."""
-    inferences, feedback = _sides(b.as_log(_event_stream(spark, sf)))[0], _sides(b.as_log(_event_stream(spark, sf)))[1]
+    inferences, feedback = (_sides(b.as_log(_event_stream(spark, sf)))[i] for i in (0, 1))
     linked = answers.link_feedback(inferences, feedback, within="5 days", delays=("1 minute", "1 minute"))
-    last = b.events_utc(spark, sf).agg(F.max("ts").alias("t")).select((F.col("t") - F.expr("INTERVAL 7 DAYS")).alias("t"))
+    last = b.events_utc(spark, sf).agg(F.max(F.unix_micros("ts")).alias("t")).first()["t"]
     written = jobs.run_to_table(linked, "answers")
-    return _rates(written.join(F.broadcast(last), F.col("ts") < F.col("t")).drop("t"))
+    return _rates(written.where(F.unix_micros("ts") < (last or 0) - 7 * 86_400_000_000))
 
 
 # ---- days -------------------------------------------------------------------------------
