@@ -132,9 +132,62 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_quotation_links")
+#: The table with quotes added: of each message, by turn, all of the one before, its first line, or that and the one before it nested.
+QUOTING_SQL = r"""
+WITH RECURSIVE c AS (SELECT row_number() OVER () AS r, * FROM conversations),
+b AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn),
+q AS (SELECT c.r, c.conv_id, c.turn, c.role, CASE
+    WHEN p.text IS NULL THEN c.text
+    WHEN c.turn % 3 = 1 THEN '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || c.text
+    WHEN c.turn % 3 = 2 OR pp.text IS NULL THEN '> ' || string_split(p.text, chr(10))[1] || chr(10) || c.text
+    ELSE '>> ' || string_split(pp.text, chr(10))[1] || chr(10) || '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || c.text END AS text
+  FROM c LEFT JOIN b AS p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN b AS pp ON pp.conv_id = c.conv_id AND pp.turn = c.turn - 2),
+l0 AS (SELECT r, conv_id, turn, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r?\n'), 1) AS pos FROM q),
+l AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)+)', '') AS body FROM l0),
+s AS (SELECT *, NOT regexp_matches(body, '\S') AS blank FROM l),
+n0 AS (SELECT *, coalesce(lag(level) OVER w <> level OR lag(blank) OVER w, true) AS starts FROM s WINDOW w AS (PARTITION BY r ORDER BY pos)),
+n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY r ORDER BY pos) AS run FROM n0),
+para AS (SELECT r, conv_id, turn, level, run, min(pos) AS pos, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY pos)), '\s+', ' ', 'g')) AS t
+  FROM n WHERE NOT blank GROUP BY r, conv_id, turn, level, run),
+whole AS (SELECT conv_id, turn, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY pos)), '\s+', ' ', 'g')) AS t FROM l WHERE level = 0 GROUP BY r, conv_id, turn),
+orig AS (SELECT conv_id, t, min(turn) AS o FROM (SELECT conv_id, turn, t FROM para WHERE level = 0 UNION ALL SELECT * FROM whole) GROUP BY conv_id, t),
+u0 AS (SELECT r, conv_id, turn, level, run, pos, unnest(list_distinct(list_concat([body], regexp_split_to_array(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))))) AS x FROM n WHERE NOT blank),
+u AS (SELECT *, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS t FROM u0),
+ku AS (SELECT conv_id, t, min(turn) AS o FROM u WHERE level = 0 AND t <> '' GROUP BY conv_id, t),
+ex AS (SELECT p.*, CASE WHEN o.o < p.turn THEN o.o END AS o FROM para p LEFT JOIN orig o ON o.conv_id = p.conv_id AND o.t = p.t WHERE level > 0),
+tr AS (SELECT u.r, u.run, arg_max(ku.o, (length(u.t), -u.pos, -ku.o)) AS o FROM u JOIN ku ON ku.conv_id = u.conv_id AND ku.t = u.t WHERE u.level > 0 AND ku.o < u.turn GROUP BY u.r, u.run),
+li AS (SELECT ex.r, level, pos, coalesce(ex.o, tr.o) AS o FROM ex LEFT JOIN tr USING (r, run)),
+per AS (SELECT r, count(*) AS n_quoted, count(o) AS n_linked, arg_min(o, (level, pos, o)) FILTER (o IS NOT NULL) AS reply_to FROM li GROUP BY r),
+up AS (SELECT conv_id, turn, min(reply_to) AS up FROM q JOIN per USING (r) WHERE reply_to IS NOT NULL GROUP BY conv_id, turn),
+chain AS (SELECT conv_id, turn, up, 1 AS hops FROM up UNION ALL SELECT chain.conv_id, chain.turn, up.up, hops + 1 FROM chain JOIN up ON up.conv_id = chain.conv_id AND up.turn = chain.up),
+top AS (SELECT conv_id, turn, arg_max(up, hops) AS thread, max(hops) AS depth FROM chain GROUP BY conv_id, turn),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY pos) AS text FROM l WHERE level = 0 GROUP BY r)
+SELECT q.conv_id, q.turn, q.role, CASE WHEN q.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  reply_to, coalesce(thread, q.turn) AS thread, coalesce(depth, 0)::BIGINT AS depth
+FROM q LEFT JOIN per USING (r) LEFT JOIN kept USING (r) LEFT JOIN top ON top.conv_id = q.conv_id AND top.turn = q.turn
+"""
+
+
+def quoting(talk: DataFrame) -> DataFrame:
+    """The messages of ``talk``, quoting those before them: whole, trimmed to a line, or nested."""
+    by_turn = talk.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    before = [by_turn.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"p{k}")) for k in (1, 2)]
+    joined = talk.join(before[0], ["conv_id", "turn"], "left").join(before[1], ["conv_id", "turn"], "left")
+    first_line = lambda c: F.get(F.split(c, "\n", -1), F.lit(0))
+    whole = F.concat(F.lit("> "), F.replace("p1", F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
+    text = (
+        F.when(F.col("p1").isNull(), F.col("text"))
+        .when(F.col("turn") % 3 == 1, F.concat(whole, F.lit("\n"), "text"))
+        .when((F.col("turn") % 3 == 2) | F.col("p2").isNull(), F.concat(F.lit("> "), first_line("p1"), F.lit("\n"), "text"))
+        .otherwise(F.concat(F.lit(">> "), first_line("p2"), F.lit("\n"), whole, "text"))
+    )
+    return joined.select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query("op7_quotation_links", QUOTING_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    """The table itself holds no quotes; its messages are given quotes of earlier ones first."""
+    return quotes.link_quotes(quoting(table(spark, sf_dir, "conversations")))
 
 
 @query("op10_warc_index")

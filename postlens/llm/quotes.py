@@ -4,8 +4,10 @@ A line's quote level is the number of ``>`` signs in front of it.  Neighbouring
 lines of one level are a passage, which blank lines cut into paragraphs.  A
 quoted paragraph is normalised (lower case, white space as single blanks) and
 hashed; the message of the same conversation that wrote the same paragraph, or
-a whole text of it, first and earlier is its original.  A message replies to the
-original of its outermost quote, the first that has one.
+a whole text of it, first and earlier is its original.  A quote that was trimmed
+has neither; its lines and sentences are looked up then, and the longest that a
+message wrote earlier names the original.  A message replies to the original of
+its outermost quote, the first that has one.
 
 Threads follow from the replies: each message points to its parent, and the
 pointers are doubled until they reach the first message.  Parents stand before
@@ -38,25 +40,49 @@ def lines_of(messages: DataFrame) -> DataFrame:
     )
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """row, conv_id, turn, level, at (first line) and hash of each paragraph: lines of one level without a blank line."""
+def in_paragraphs(lines: DataFrame) -> DataFrame:
+    """``lines`` that are not blank, with run: the number of their paragraph, lines of one level without a blank line."""
     order = Window.partitionBy("row").orderBy("at")
     blank = ~F.col("body").rlike(r"\S")
     before = F.lag(F.struct(F.col("level").alias("level"), blank.alias("blank"))).over(order)
     starts = F.coalesce((before["level"] != F.col("level")) | before["blank"], F.lit(True))
-    numbered = lines.withColumn("_starts", starts).withColumn("_run", F.sum(F.col("_starts").cast("int")).over(order)).where(~blank)
-    joined = numbered.groupBy("row", "conv_id", "turn", "level", "_run").agg(
+    return lines.withColumn("_starts", starts).withColumn("run", F.sum(F.col("_starts").cast("int")).over(order)).where(~blank).drop("_starts")
+
+
+def paragraphs(numbered: DataFrame) -> DataFrame:
+    """row, conv_id, turn, level, run, at (first line) and hash of each paragraph."""
+    joined = numbered.groupBy("row", "conv_id", "turn", "level", "run").agg(
         F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts")
     )
     text = normalised(F.array_join(F.transform("parts", lambda p: p["body"]), " "))
-    return joined.select("row", "conv_id", "turn", "level", "at", F.sha2(text, 256).alias("hash"))
+    return joined.select("row", "conv_id", "turn", "level", "run", "at", F.sha2(text, 256).alias("hash"))
+
+
+def units(numbered: DataFrame) -> DataFrame:
+    """row, conv_id, turn, level, run, at, size and hash of every line and every sentence of a line."""
+    sentences = F.split("body", r"(?<=[.!?])\s+")
+    each = numbered.select("row", "conv_id", "turn", "level", "run", "at", F.explode(F.array_distinct(F.concat(F.array("body"), sentences))).alias("unit"))
+    text = each.withColumn("unit", normalised(F.col("unit"))).where("unit <> ''")
+    return text.select("row", "conv_id", "turn", "level", "run", "at", F.length("unit").alias("size"), F.sha2("unit", 256).alias("hash"))
+
+
+def trimmed_originals(numbered: DataFrame, open_: DataFrame) -> DataFrame:
+    """row, run and original of the quoted paragraphs ``open_`` (row, run) of which an earlier message wrote a line or sentence.
+
+    The longest unit decides, of equally long ones the first.
+    """
+    known = units(numbered.where("level = 0")).groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
+    asked = units(numbered.where("level > 0").join(open_, ["row", "run"], "left_semi"))
+    found = asked.join(known, ["conv_id", "hash"]).where("original < turn")
+    best = F.max_by("original", F.struct(F.col("size"), (-F.col("at")).alias("first"), (-F.col("original")).alias("early")))
+    return found.groupBy("row", "run").agg(best.alias("trimmed"))
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quoted, n_linked, reply_to, thread and depth, a row per row.
 
     ``n_quoted`` counts quoted paragraphs and ``n_linked`` those with an
-    original.  ``reply_to`` is the turn of the message replied to, null for none;
+    original, whole or trimmed.  ``reply_to`` is the turn of the message replied to, null for none;
     ``thread`` the turn of the first message of the chain of replies and
     ``depth`` the number of replies on the way.  Null texts have no lines and
     stay null; messages without conv_id or turn are neither linked nor linked
@@ -72,16 +98,22 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     # conversations with a quote; the others have nothing to link
     talked = materialize(quoting.select("conv_id").where(F.col("conv_id").isNotNull()).distinct(), "quoting")
     lines = materialize(lines_of(known.join(talked, "conv_id", "left_semi")), "message-lines")
-    parts = materialize(paragraphs(lines), "paragraphs")
+    numbered = materialize(in_paragraphs(lines), "paragraph-lines")
+    parts = materialize(paragraphs(numbered), "paragraphs")
     own = lines.where("level = 0").groupBy("row", "conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))
     whole = own.select("conv_id", "turn", F.sha2(normalised(F.array_join(F.transform("parts", lambda p: p["body"]), " ")), 256).alias("hash"))
     first = (
         parts.where("level = 0").select("conv_id", "turn", "hash").unionAll(whole).groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
     )
     quoted = parts.where("level > 0")
-    linked = quoted.join(first, ["conv_id", "hash"], "left").select(
-        "row", "conv_id", "turn", "level", "at", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original")
+    exact = materialize(
+        quoted.join(first, ["conv_id", "hash"], "left").select(
+            "row", "run", "level", "at", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original")
+        ),
+        "quoted-paragraphs",
     )
+    trimmed = trimmed_originals(numbered, exact.where("original IS NULL").select("row", "run"))
+    linked = exact.join(trimmed, ["row", "run"], "left").withColumn("original", F.coalesce("original", "trimmed"))
     per_row = linked.groupBy("row").agg(
         F.count("*").alias("n_quoted"),
         F.count("original").alias("n_linked"),

@@ -204,7 +204,7 @@ def test_quotation_links(spark):
         (1, 0, "user", talk[0][3], 0, 0, None, 0, 0),
         (1, 1, "assistant", "Answer one", 1, 1, 0, 0, 1),
         (1, 2, "user", "\nThanks", 2, 2, 1, 0, 2),
-        (1, 3, "user", "hm", 1, 0, None, 3, 0),
+        (1, 3, "user", "hm", 1, 1, 0, 0, 1),  # a trimmed quote: two of its lines are known
         (1, 4, "user", "fine", 1, 0, None, 4, 0),
         (1, 4, "user", "fine", 1, 0, None, 4, 0),
         (2, 0, "user", "other talk", 1, 0, None, 0, 0),
@@ -213,6 +213,17 @@ def test_quotation_links(spark):
         (2, None, "user", "", 0, 0, None, None, 0),
     ]
     assert got == sorted(want, key=repr)
+    trimmed = [
+        (1, 0, "a", "One thing. Another thing here!\nA longer line of its own"),
+        (1, 1, "b", "One thing. Yes?\nmore"),
+        (1, 2, "a", "> one  THING.\n\n> Another thing here!\nok"),
+        (1, 3, "a", "> Yes? and what not\n> a longer line of its own\nok"),
+        (2, 1, "a", "> A longer line of its own\nno"),
+    ]
+    found = quotes.link_quotes(spark.createDataFrame(trimmed, df.schema)).collect()
+    assert {(r["conv_id"], r["turn"]): (r["n_quoted"], r["n_linked"], r["reply_to"]) for r in found} == {
+        (1, 0): (0, 0, None), (1, 1): (0, 0, None), (1, 2): (2, 2, 0), (1, 3): (1, 1, 0), (2, 1): (1, 0, None),
+    }
     long = [(1, i, "user", f"message number {i}\n> message number {i - 1}") for i in range(40)]
     deep = {r["turn"]: (r["thread"], r["depth"]) for r in quotes.link_quotes(spark.createDataFrame(long, df.schema)).collect()}
     assert deep == {i: (0, i) for i in range(40)}
