@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ __all__ = [
     "scratch_path",
     "share",
     "table",
+    "tidy",
 ]
 
 BROADCAST_BYTES = 32 << 20
@@ -71,6 +73,12 @@ def share(spark: SparkSession, value) -> Callable:
     return load
 
 
+def tidy() -> None:
+    """Give back what a task held; workers live on, and memos that refer to themselves would stay until the next collection."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: pa.Array, rows: int = ROWS, size: int = ROW_BYTES) -> Iterator[tuple[int, int]]:
     """(start, rows) of runs of texts within both bounds, one text at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -112,6 +120,8 @@ def map_rows(
                     + [pa.array(columns[i], kind) for i, (_, kind) in enumerate(fields)],
                     names=[f"k{i}" for i in range(len(keep))] + [f"v{i}" for i in range(len(fields))],
                 )
+        del call
+        tidy()
 
     return narrow.mapInArrow(run, ", ".join(x for x in (kept, made) if x)).toDF(*keep, *[n for n, _ in fields])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_rows, share
+from .common import MEMO_WORDS, Memo, map_rows, share
 
 BLANK = "▁"
 #: What the unknown piece decodes to; fixed.
@@ -98,14 +98,14 @@ class PieceModel:
 class Encoder:
     """Encodes and decodes with a model; one per task."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, words: int = MEMO_WORDS, pairs: int = MEMO_PAIRS):
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece in model.ids:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.pairs = Memo(lambda ab: model.merge(ab[0] + ab[1]) == [*ab], MEMO_PAIRS)
-        self.words = Memo(self._word)
+        self.pairs = Memo(lambda ab: model.merge(ab[0] + ab[1]) == [*ab], pairs)
+        self.words = Memo(self._word, words)
         table = {str(i): p.replace(BLANK, " ") for p, i in model.ids.items()}
         # bytes from 128 on wait as surrogates until the whole run is there
         table |= {str(i): chr(b) if b < 128 else chr(0xDC00 + b) for b, i in model.bytes.items()}
@@ -202,10 +202,10 @@ _LEAD = re.compile("^\ud801* ")
 _WAITING = re.compile("[\udc80-\udcff]+")
 
 
-def load(spark_df: DataFrame, path: str) -> Callable[[], Encoder]:
+def load(spark_df: DataFrame, path: str, **memos: int) -> Callable[[], Encoder]:
     """A function for tasks that gives an encoder; the model's tables, fixed in size, are broadcast."""
     model = share(spark_df.sparkSession, PieceModel(path))
-    return lambda: Encoder(model())
+    return lambda: Encoder(model(), **memos)
 
 
 def encode(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,7 +271,7 @@ def encode_rows(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     A null or empty text has the end id alone and becomes the empty text; a
     repeated row is a row of its own.  Columns ids and n_tokens of ``df`` are replaced.
     """
-    encoder = load(df, model)
+    encoder = load(df, model, words=MEMO_WORDS // 4, pairs=MEMO_PAIRS // 4)  # next to texts and ids
     keep = [c for c in df.columns if c not in (text, "ids", "n_tokens")]
 
     def work():

@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, materialize
 
-#: Rows that cost and selectivity are measured on; they decide the order only.
+#: About so many rows cost and selectivity are measured on; they decide the order only.
 SAMPLE_ROWS = 2_000
-SAMPLE_FRACTION = 0.1
 
 
 @dataclass(frozen=True)
@@ -140,11 +139,12 @@ def standard_rules(text: Column, words: Column) -> list[Rule]:
 def measure_rules(df: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, repeat: int = 2) -> list[Measured]:
     """Cost and selectivity of each rule on a sample, best rejection per second first.
 
-    The sample is written once and read for every rule, so only the rule itself
-    differs between the timed runs; the time of an empty rule is taken off.  An
+    The sample, a share of the rows that follows from their number, is written
+    once and read for every rule, so only the rule itself differs between the
+    timed runs; the time of an empty rule is taken off.  An
     empty table leaves the order as it is.
     """
-    sample = materialize(df.sample(SAMPLE_FRACTION, seed=1).limit(rows), "quality-sample")
+    sample = materialize(df.sample(min(1.0, rows / max(1, df.count())), seed=1).repartition(8), "quality-sample")
 
     def timed(column: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, materialize
+from .common import Memo, materialize, slices, tidy
 from .suffixes import Folder, repeated
 
 LENGTH = 400
@@ -132,8 +132,8 @@ def segment_hashes(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [segments(t if isinstance(t, bytes) else t.encode("utf-8"), length) for t in batch.column(0).slice(at, 256).to_pylist()]
+            for at, n in slices(batch.column(0), 256):
+                found = [segments(t if isinstance(t, bytes) else t.encode("utf-8"), length) for t in batch.column(0).slice(at, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([f[0] for f in found])),
@@ -141,6 +141,7 @@ def segment_hashes(texts: DataFrame, length: int) -> DataFrame:
                     ],
                     names=["m", "twice"],
                 )
+        tidy()
 
     return texts.select("text").mapInArrow(run, "m long, twice boolean")
 
@@ -150,9 +151,9 @@ def segment_rows(texts: DataFrame, length: int, flags) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at, n in slices(batch.column(0), 256):
                 columns: list[list] = [[] for _ in range(6)]
-                for data in batch.column(0).slice(at, 256).to_pylist():
+                for data in batch.column(0).slice(at, n).to_pylist():
                     data = data if isinstance(data, bytes) else data.encode("utf-8")
                     m, first, end, twice = segments(data, length)
                     some = np.flatnonzero(in_bitmap(flags.value, m)) if len(m) else ()
@@ -168,6 +169,7 @@ def segment_rows(texts: DataFrame, length: int, flags) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "m", "h", "first", "last", "twice"]
                 )
+        tidy()
 
     return texts.select("text").mapInArrow(run, "key binary, m long, h binary, first long, last long, twice boolean")
 
@@ -198,9 +200,12 @@ def shortened(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[np.
     sorting busy with one suffix at a time.
     """
     cuts = []
-    for period in range(1, PERIOD + 1):
-        if len(data) <= 2 * (length + period):
-            break
+    if len(data) <= 2 * length + 2:
+        return data, cuts
+    # a stretch that is long enough holds one of these places, whose next bytes then come again a period behind
+    whole = data.tobytes()
+    places = ((at, whole.find(whole[at : at + PERIOD], at + 1, at + 2 * PERIOD)) for at in range(0, len(whole) - PERIOD, length))
+    for period in sorted({found - at for at, found in places if found > 0}):
         same = np.concatenate([[False], data[period:] == data[:-period], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
         start, size = edge[::2], edge[1::2] - edge[::2] + period
@@ -232,14 +237,15 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
             size = 0
             with open(f"{folder.path}/text", "wb") as file:
                 for batch in batches:
-                    for key, m, first, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                        data, cut = shortened(np.frombuffer(data, np.uint8), length)
-                        np.append(data.astype(np.int16) + 2, np.int16(1)).tofile(file)
-                        keys.append(key)
-                        firsts.append(first)
-                        sizes.append(len(data) + 1)
-                        cuts.append(cut)
-                        size += len(data) + 1
+                    for at, n in slices(batch.column(3)):
+                        for key, first, data in zip(*(batch.column(i).slice(at, n).to_pylist() for i in (0, 2, 3))):
+                            data, cut = shortened(np.frombuffer(data, np.uint8), length)
+                            np.append(data.astype(np.int16) + 2, np.int16(1)).tofile(file)
+                            keys.append(key)
+                            firsts.append(first)
+                            sizes.append(len(data) + 1)
+                            cuts.append(cut)
+                            size += len(data) + 1
                 np.zeros(1, np.int16).tofile(file)
             if not keys:
                 return
@@ -258,6 +264,8 @@ def shard_spans(parts: DataFrame, shards: int, length: int) -> DataFrame:
                     [pa.array([keys[i]] * len(start), pa.binary()), pa.array(start), pa.array(end)],
                     names=["key", "start", "end"],
                 )
+            del text, found
+        tidy()
 
     dealt = parts.repartition(shards, "m")
     return dealt.mapInArrow(run, "key binary, start long, end long")
@@ -306,12 +314,14 @@ def repeated_words(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh32_intdigest)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                data = [t.encode("utf-8") for t in batch.column(0).slice(at, 256).to_pylist()]
+            for at, n in slices(batch.column(0), 256):
+                data = [t.encode("utf-8") for t in batch.column(0).slice(at, n).to_pylist()]
                 codes = [np.fromiter(map(memo.__getitem__, d.split()), np.uint32).tobytes() for d in data]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.md5(d).digest() for d in data], pa.binary()), pa.array(codes, pa.binary())], names=["whole", "text"]
                 )
+        del memo
+        tidy()
 
     length = CODE * words
     coded = texts.select("text").mapInArrow(run, "whole binary, text binary").where(F.octet_length("text") >= length)
