@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.stem import stem_tokens
+from ..session import materialize
+
 
 def tokens(text: Column, stem: bool = True) -> Column:
     """Lower-case runs of ASCII letters and digits, as stems if wanted."""
@@ -28,6 +32,39 @@ def _f(hits: Column, said: Column, real: Column) -> Column:
     return F.when((said > 0) & (real > 0) & (hits > 0), 2 * p * r / (p + r)).otherwise(0.0)
 
 
+def pair_tokens(df: DataFrame, id_col: str, prediction: str, reference: str, stem: bool) -> DataFrame:
+    """id and the token arrays _said and _real of each pair; null texts have no tokens."""
+    made = [tokens(F.coalesce(F.col(c), F.lit("")), stem).alias(n) for c, n in ((prediction, "_said"), (reference, "_real"))]
+    return df.select(id_col, *made)
+
+
+def _gram_scores(words: DataFrame, id_col: str, sizes: Sequence[int]) -> DataFrame:
+    """id and rouge<n> for each of ``sizes`` from token arrays, in one pass over the n-grams.
+
+    The pairs are partitioned by id once, as token arrays; exploding and both
+    groupings then stay within a partition, so n-grams are never shuffled.
+    """
+    make = {1: lambda w: w, 2: _bigrams}
+    placed = words.repartition(id_col)
+    sides = [
+        F.struct(F.lit(n).alias("n"), make[n](F.col(side)).alias("grams"), F.lit(int(side == "_said")).alias("a"), F.lit(int(side == "_real")).alias("b"))
+        for n in sizes
+        for side in ("_said", "_real")
+    ]
+    grams = placed.select(id_col, F.explode(F.array(*sides)).alias("s")).select(
+        id_col, "s.n", F.explode_outer("s.grams").alias("gram"), "s.a", "s.b"
+    )
+    counts = grams.groupBy(id_col, "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    def total(n: int, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("gram").isNotNull() & (F.col("n") == n), value)), F.lit(0))
+
+    sums = counts.groupBy(id_col).agg(
+        *[total(n, v).alias(f"{name}{n}") for n in sizes for name, v in (("hits", F.least("a", "b")), ("said", F.col("a")), ("real", F.col("b")))]
+    )
+    return sums.select(id_col, *[_f(F.col(f"hits{n}"), F.col(f"said{n}"), F.col(f"real{n}")).alias(f"rouge{n}") for n in sizes])
+
+
 def rouge_n(
     df: DataFrame,
     n: int,
@@ -37,33 +74,8 @@ def rouge_n(
     reference: str = "reference",
     stem: bool = True,
 ) -> DataFrame:
-    """F-measure of n-gram overlap per pair (n = 1 or 2).
-
-    The pairs are partitioned by id once, as token arrays; exploding and both
-    groupings then stay within a partition, so n-grams are never shuffled.
-    """
-    make = {1: lambda w: w, 2: _bigrams}[n]
-    # Stemming comes first: a Python step would forget the partitioning.
-    words = df.select(
-        id_col,
-        *[tokens(F.coalesce(F.col(c), F.lit("")), stem).alias(c) for c in (prediction, reference)],
-    ).repartition(id_col)
-    placed = words.select(id_col, make(F.col(prediction)).alias("_said"), make(F.col(reference)).alias("_real"))
-    sides = F.array(
-        F.struct(F.col("_said").alias("grams"), F.lit(1).alias("a"), F.lit(0).alias("b")),
-        F.struct(F.col("_real").alias("grams"), F.lit(0).alias("a"), F.lit(1).alias("b")),
-    )
-    grams = placed.select(id_col, F.explode(sides).alias("s")).select(
-        id_col, F.explode_outer("s.grams").alias("gram"), "s.a", "s.b"
-    )
-    counts = grams.groupBy(id_col, "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    known = F.col("gram").isNotNull()
-    sums = counts.groupBy(id_col).agg(
-        F.coalesce(F.sum(F.when(known, F.least("a", "b"))), F.lit(0)).alias("hits"),
-        F.coalesce(F.sum(F.when(known, F.col("a"))), F.lit(0)).alias("said"),
-        F.coalesce(F.sum(F.when(known, F.col("b"))), F.lit(0)).alias("real"),
-    )
-    return sums.select(id_col, _f(F.col("hits"), F.col("said"), F.col("real")).alias(f"rouge{n}"))
+    """F-measure of n-gram overlap per pair (n = 1 or 2)."""
+    return _gram_scores(pair_tokens(df, id_col, prediction, reference, stem), id_col, (n,))
 
 
 @F.pandas_udf(DoubleType())
@@ -85,6 +97,11 @@ def _lcs_length(said: pd.Series, real: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(said, real)], dtype="float64")
 
 
+def _lcs_scores(words: DataFrame, id_col: str) -> DataFrame:
+    scored = words.withColumn("_hits", _lcs_length("_said", "_real"))
+    return scored.select(id_col, _f(F.col("_hits"), F.size("_said"), F.size("_real")).alias("rougeL"))
+
+
 def rouge_l(
     df: DataFrame,
     *,
@@ -94,18 +111,23 @@ def rouge_l(
     stem: bool = True,
 ) -> DataFrame:
     """F-measure of the longest common subsequence per pair."""
-    words = df.select(
-        id_col,
-        tokens(F.coalesce(F.col(prediction), F.lit("")), stem).alias("_said"),
-        tokens(F.coalesce(F.col(reference), F.lit("")), stem).alias("_real"),
-    )
-    scored = words.withColumn("_hits", _lcs_length("_said", "_real"))
-    return scored.select(id_col, _f(F.col("_hits"), F.size("_said"), F.size("_real")).alias("rougeL"))
+    return _lcs_scores(pair_tokens(df, id_col, prediction, reference, stem), id_col)
 
 
-def rouge_summary(df: DataFrame, **options) -> DataFrame:
-    """Mean ROUGE-1/2/L times 100, two decimals, and the number of pairs."""
-    id_col = options.get("id_col", "pair_id")
-    parts = rouge_n(df, 1, **options).join(rouge_n(df, 2, **options), id_col).join(rouge_l(df, **options), id_col)
+def rouge_summary(
+    df: DataFrame,
+    *,
+    id_col: str = "pair_id",
+    prediction: str = "prediction",
+    reference: str = "reference",
+    stem: bool = True,
+) -> DataFrame:
+    """Mean ROUGE-1/2/L times 100, two decimals, and the number of pairs.
+
+    Texts are cut into tokens, and these stemmed, once; the arrays are written
+    and serve all three.
+    """
+    words = materialize(pair_tokens(df, id_col, prediction, reference, stem), "rouge-tokens")
+    parts = _gram_scores(words, id_col, (1, 2)).join(_lcs_scores(words, id_col), id_col)
     mean = {c: F.round(F.coalesce(F.avg(c), F.lit(0.0)) * 100, 2).alias(c) for c in ("rouge1", "rouge2", "rougeL")}
     return parts.agg(*mean.values(), F.count("*").alias("sample_count"))

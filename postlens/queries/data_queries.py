@@ -298,6 +298,18 @@ def validate_report(spark, sf):
     )
 
 
+@query(
+    "positional_split",
+    f"""WITH {LAB}, r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) AS k, count(*) OVER () AS n FROM lab)
+    SELECT doc_id AS msg_id, CASE WHEN k <= floor(n * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS part FROM r""",
+)
+def positional_split(spark, sf):
+    """Nine tenths by digest order, without strata, and the rest."""
+    docs = b.labelled_documents(spark, sf).select(F.col("doc_id").alias("msg_id"))
+    train, val = corpus.positional_split(docs)
+    return train.select("msg_id", F.lit("train").alias("part")).unionByName(val.select("msg_id", F.lit("val").alias("part")))
+
+
 @query(
     "label_distribution",
     f"WITH {VAL} SELECT label, count(*) AS n FROM ver WHERE verdict = 'valid' GROUP BY label",

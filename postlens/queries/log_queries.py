@@ -158,6 +158,13 @@ def job_state(spark, sf):
     return _states(spark, sf)
 
 
+@query("job_lookup", f"WITH {JOBS} SELECT * FROM state WHERE job_id = 45 AND tenant_id = 't3'")
+def job_lookup(spark, sf):
+    """One job, asked for by its tenant; another tenant's question finds nothing."""
+    states = _states(spark, sf)
+    return logs.job_by_id(states, 45, "t3").unionByName(logs.job_by_id(states, 45, "t4"))
+
+
 @query("tenant_scope", f"WITH {JOBS} SELECT * FROM state WHERE tenant_id = 't3'")
 def tenant_scope(spark, sf):
     return logs.tenant_scope(_states(spark, sf), "t3")
@@ -260,6 +267,13 @@ def stream_feedback(spark, sf):
     return _flat_feedback(jobs.run_to_table(jobs.stream_feedback(records, dedup=False), "feedback"))
 
 
+@query("stream_feedback_dedup", f"WITH {LOG} SELECT DISTINCT tenant_id, message_id, task_type AS feedback FROM log")
+def stream_feedback_dedup(spark, sf):
+    """Feedback without the repeats of a tenant's word on a message."""
+    records = feedback_records(b.as_log(_event_stream(spark, sf)))
+    return jobs.run_to_table(jobs.stream_feedback(records), "feedback-once").select("tenant_id", "message_id", "feedback")
+
+
 @query(
     "stream_job_state",
     f"WITH {JOBS} SELECT job_id, status, tenant_id, updated_at FROM state",
