@@ -190,7 +190,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(quoting(table(spark, sf_dir, "conversations")))
 
 
-@query("op10_warc_index")
+#: SHA-1 in base32: the digits of the hexadecimal form as bits, five at a time.
+CAPTURE_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+hashes AS (SELECT h, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i])::INTEGER), 4, '0')), '') AS bits FROM (SELECT DISTINCT h FROM p)),
+digests AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(1, 6), lambda k: bits[5 * i + k]::INTEGER * (2 ** (5 - k))::INTEGER))::INTEGER]), '') AS digest FROM hashes),
+c AS (SELECT page_id, n, digest, max(page_id) OVER (PARTITION BY digest) AS last FROM p JOIN digests USING (h))
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM c
+"""
+
+
+@query("op10_warc_index", CAPTURE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.captures(pages.select("url", "page_id"), warc.archive_pages(pages))
