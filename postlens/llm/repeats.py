@@ -41,8 +41,8 @@ CODE = 4
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 #: Bits of a bitmap, 8 MB.
 BITS = 1 << 26
-#: Longest period of a stretch that is shortened before its suffixes are sorted.
-PERIOD = 64
+#: Longest period of a stretch that is shortened before its suffixes are sorted, and how many bytes must come again to look closer.
+PERIOD, SAME = 64, 32
 #: Bytes a shard is meant to hold; it may hold any number, on disk.
 SHARD_BYTES = 3 << 20
 
@@ -203,9 +203,12 @@ def shortened(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[np.
     if len(data) <= 2 * length + 2:
         return data, cuts
     # a stretch that is long enough holds one of these places, whose next bytes then come again a period behind
-    whole = data.tobytes()
-    places = ((at, whole.find(whole[at : at + PERIOD], at + 1, at + 2 * PERIOD)) for at in range(0, len(whole) - PERIOD, length))
-    for period in sorted({found - at for at, found in places if found > 0}):
+    whole, periods = data.tobytes(), set()
+    for at in range(0, len(whole) - SAME, length):
+        found = whole.find(whole[at : at + SAME], at + 1, at + PERIOD + SAME)
+        if found > 0:
+            periods.add(found - at)
+    for period in sorted(periods):
         same = np.concatenate([[False], data[period:] == data[:-period], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
         start, size = edge[::2], edge[1::2] - edge[::2] + period
