@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.stem import stem_tokens
 from ..session import materialize
 
+#: Pairs that a task holds as Python objects at a time.
+_SLICE_ROWS = 500
+
 
 def tokens(text: Column, stem: bool = True) -> Column:
     """Lower-case runs of ASCII letters and digits, as stems if wanted."""
@@ -19,13 +24,6 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return stem_tokens(words) if stem else words
 
 
-def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    heads = F.slice(words, 1, F.greatest(n - 1, F.lit(0)))
-    tails = F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
-    return F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b))
-
-
 def _f(hits: Column, said: Column, real: Column) -> Column:
     # 2PR/(P+R) with P = hits/said and R = hits/real.
     p, r = hits / said, hits / real
@@ -39,29 +37,54 @@ def pair_tokens(df: DataFrame, id_col: str, prediction: str, reference: str, ste
 
 
 def _gram_scores(words: DataFrame, id_col: str, sizes: Sequence[int]) -> DataFrame:
-    """id and rouge<n> for each of ``sizes`` from token arrays, in one pass over the n-grams.
+    """id and rouge<n> for each of ``sizes`` from token arrays, a row per id.
 
-    The pairs are partitioned by id once, as token arrays; exploding and both
-    groupings then stay within a partition, so n-grams are never shuffled.
+    The pairs are partitioned and sorted by id once, as texts of blank-joined
+    tokens, and read in that order: the n-grams of one id are counted at a time
+    (those of all its pairs together), so n-grams are never shuffled and a task
+    keeps no table of them.
     """
-    make = {1: lambda w: w, 2: _bigrams}
-    placed = words.repartition(id_col)
-    sides = [
-        F.struct(F.lit(n).alias("n"), make[n](F.col(side)).alias("grams"), F.lit(int(side == "_said")).alias("a"), F.lit(int(side == "_real")).alias("b"))
-        for n in sizes
-        for side in ("_said", "_real")
-    ]
-    grams = placed.select(id_col, F.explode(F.array(*sides)).alias("s")).select(
-        id_col, "s.n", F.explode_outer("s.grams").alias("gram"), "s.a", "s.b"
-    )
-    counts = grams.groupBy(id_col, "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-    def total(n: int, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("gram").isNotNull() & (F.col("n") == n), value)), F.lit(0))
-
-    sums = counts.groupBy(id_col).agg(
-        *[total(n, v).alias(f"{name}{n}") for n in sizes for name, v in (("hits", F.least("a", "b")), ("said", F.col("a")), ("real", F.col("b")))]
-    )
+    placed = words.select(id_col, *[F.array_join(c, " ").alias(c) for c in ("_said", "_real")])
+    placed = placed.repartition(id_col).sortWithinPartitions(id_col)
+    sizes, slice_rows = tuple(sizes), _SLICE_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(bags):
+            return [x for a, b in bags for x in (sum((a & b).values()), a.total(), b.total())]
+
+        def table(ids, numbers):
+            columns = [pa.array(c, pa.int64()) for c in zip(*numbers)]
+            return pa.RecordBatch.from_arrays([ids, *columns], names=[str(i) for i in range(1 + len(columns))])
+
+        held, bags = None, None  # the id whose pairs are being read, as an array of one, and its bags
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(at, slice_rows)
+                keys = batch.column(0).to_pylist()
+                ended, numbers = [], []  # rows where an id ends before the row, and what was counted
+                for i, (key, said, real) in enumerate(zip(keys, batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    last = (keys[i - 1] if i else held[0].as_py()) if bags else None
+                    if bags and not (key == last or (key != key and last != last)):
+                        ended.append(i)
+                        numbers.append(counted(bags))
+                        bags = None
+                    if bags is None:
+                        bags = [(Counter(), Counter()) for _ in sizes]
+                    for side, text in enumerate((said, real)):
+                        tokens = text.split()
+                        for n, pair in zip(sizes, bags):
+                            pair[side].update(tokens if n == 1 else zip(*(tokens[k:] for k in range(n))))
+                if ended:
+                    before = [] if ended[0] else [held]
+                    ids = pa.concat_arrays([*before, batch.column(0).take(pa.array([i - 1 for i in ended if i], pa.int64()))])
+                    yield table(ids, numbers)
+                held = batch.column(0).slice(batch.num_rows - 1)
+        if bags:
+            yield table(held, [counted(bags)])
+
+    facts = [f"{name}{n}" for n in sizes for name in ("hits", "said", "real")]
+    schema = StructType([StructField("0", words.schema[id_col].dataType), *(StructField(str(i + 1), LongType()) for i in range(len(facts)))])
+    sums = placed.mapInArrow(run, schema).toDF(id_col, *facts)
     return sums.select(id_col, *[_f(F.col(f"hits{n}"), F.col(f"said{n}"), F.col(f"real{n}")).alias(f"rouge{n}") for n in sizes])
 
 

@@ -1,6 +1,7 @@
 """Metrics, percentiles, ROUGE and search against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -243,3 +244,33 @@ def test_text_model_gate(spark, tmp_path):
     with pytest.raises(train.GateNotPassed):
         train.promote_text_model(model, bad, m.gate_table(spark), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def _plain_rouge(rows, n):
+    """Bags of n-grams per id, in plain Python."""
+    bags = {}
+    for i, said, real in rows:
+        for side, text in enumerate((said, real)):
+            words = re.findall("[a-z0-9]+", (text or "").lower())
+            bags.setdefault(i, (Counter(), Counter()))[side].update(zip(*(words[k:] for k in range(n))))
+    out = {}
+    for i, (a, b) in bags.items():
+        h = sum((a & b).values())
+        p, r = h / max(1, sum(a.values())), h / max(1, sum(b.values()))
+        out[i] = 2 * p * r / (p + r) if h else 0.0
+    return out
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_rouge_keeps_no_table_of_ngrams(spark, repeats):
+    rng = random.Random(5)
+    text = lambda: rng.choice([None, "", " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30)))])
+    rows = [(i, text(), text()) for i in range(60)] + [(None, "a b a", "a a b")]
+    rows += [(i % 3 or None, text(), text()) for i in range(40)] if repeats else []
+    df = spark.createDataFrame(rows, "pair_id long, prediction string, reference string")
+    for n in (1, 2):
+        got = r.rouge_n(df, n, stem=False)
+        assert {x["pair_id"]: x[f"rouge{n}"] for x in got.collect()} == pytest.approx(_plain_rouge(rows, n))
+        assert got.count() == len({x[0] for x in rows})
+        # counted in the order of ids: no grouping, whose memory would grow with the input
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
