@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -48,6 +48,8 @@ PHONE_PATTERN = (
     rf"(?:\+?1{_GAP})?(?:\(?\d{{3}}\)?{_GAP})?\d{{3}}{_GAP}\d{{4}}(?!{_WORD})"
 )
 
+#: Texts that the decoder holds as Python strings at a time; the rest of a batch stays in Arrow's buffers.
+_SLICE_ROWS = 64
 # An ampersand that could open an entity.
 _ENTITY_HINT = r"&[^\t\n\f <&;]"
 # Characters NFKC leaves alone and that never combine with a neighbour, so a
@@ -130,9 +132,16 @@ def _decoder(strip_tags: bool, unescape: bool, nfkc: bool):
             text = tag.sub(" ", text)
         return unicodedata.normalize("NFKC", text) if nfkc else text
 
-    @F.pandas_udf(StringType())
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+    @F.arrow_udf(StringType())
+    def decode(texts: pa.Array) -> pa.Array:
+        done = [
+            pa.array([one(t) for t in texts.slice(at, _SLICE_ROWS).to_pylist()], pa.string())
+            for at in range(0, len(texts), _SLICE_ROWS)
+        ]
+        out = pa.concat_arrays(done) if done else pa.array([], pa.string())
+        del done
+        pa.default_memory_pool().release_unused()  # the worker lives on
+        return out
 
     return decode
 

@@ -119,3 +119,20 @@ def test_assemble_text(spark):
 def test_non_strings_are_cast(spark):
     df = spark.createDataFrame([(12345678901,)], "n long")
     assert df.select(tx.clean_text(F.col("n"), replace_phones=False)).first()[0] == "12345678901"
+
+
+def test_decoder_holds_few_texts_at_a_time():
+    """A batch's texts stay in Arrow's buffers; only a slice of them are Python strings (all were before)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    work = tx._decoder(False, True, False).func
+    batch = pa.array(["&lt;" + "x" * 2_000 + "é", None, ""] * 4_000)
+    tracemalloc.start()
+    done = work(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done[:4].to_pylist() == ["<" + "x" * 2_000 + "é", None, "", "<" + "x" * 2_000 + "é"] and len(done) == len(batch)
+    assert peak < 2 << 20
+    assert work(batch[:0]).to_pylist() == []
