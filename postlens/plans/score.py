@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions import scoring
 from ..functions.safety import analyze_and_sanitize, override_action
-from ..functions.text import as_text, request_text
+from ..functions.text import as_text, is_blank, request_text
 from ..operators.scorers import CLASSIFIERS, DEFAULT_SCORERS, Scorer, route
 
 
@@ -32,9 +32,24 @@ def classify(
     fields: Sequence[str] = ("subject", "body"),
 ) -> DataFrame:
     """Flags, score, label and (possibly overridden) action of each message."""
-    clean = sanitize_requests(df, fields)
-    routed = route(clean, task, overrides=overrides, scorers=scorers)
-    return override_action(routed)
+    return _classify_clean(sanitize_requests(df, fields), task, overrides, scorers)
+
+
+def _classify_clean(clean: DataFrame, task: str, overrides: DataFrame | None, scorers: Sequence[Scorer]) -> DataFrame:
+    return override_action(route(clean, task, overrides=overrides, scorers=scorers))
+
+
+def prepare_requests(df: DataFrame) -> DataFrame:
+    """Requests with what all tasks share: sanitised fields, their flags, the request text and the usage.
+
+    To be written once where several tasks score the same requests.
+    """
+    fields = [f for f in fixed.REQUEST_FIELDS if f in df.columns]
+    for needed in ("subject", "body"):
+        if needed not in fields:
+            df = df.withColumn(needed, F.lit(None).cast("string"))
+    clean = sanitize_requests(df, fields or ("subject", "body"))
+    return clean.withColumn("usage", scoring.usage({f: F.col(f) for f in fields}))
 
 
 def _field(df: DataFrame, name: str) -> Column:
@@ -49,7 +64,7 @@ def _answer(df: DataFrame, task: str) -> Column:
         fixed.TASK_DRAFT: lambda: {"draft": scoring.draft_reply(get["instruction"])},
         fixed.TASK_REWRITE: lambda: {"rewrite": scoring.rewrite_reply(get["text"], get["tone"])},
         fixed.TASK_SUMMARY: lambda: {
-            "summary": scoring.summarize(scoring.thread_or_message(get["thread"], get["subject"], get["body"]))
+            "summary": scoring.summarize(F.when(is_blank(as_text(get["thread"])), text).otherwise(as_text(get["thread"])))
         },
         fixed.TASK_SEARCH: lambda: {
             "query": as_text(get["query"]),
@@ -72,22 +87,20 @@ def score_messages(
     overrides: DataFrame | None = None,
     scorers: Sequence[Scorer] = DEFAULT_SCORERS,
     latency_col: str | None = None,
+    prepared: bool = False,
 ) -> DataFrame:
     """The full response envelope of each request.
 
-    ``df`` has request_id, tenant_id and the request fields the task reads.
+    ``df`` has request_id, tenant_id and the request fields the task reads; with
+    ``prepared`` it comes from :func:`prepare_requests`.
     """
-    fields = [f for f in fixed.REQUEST_FIELDS if f in df.columns]
-    for needed in ("subject", "body"):
-        if needed not in fields:
-            df = df.withColumn(needed, F.lit(None).cast("string"))
+    done = df if prepared else prepare_requests(df)
     if task in CLASSIFIERS:
-        done = classify(df, task, overrides=overrides, scorers=scorers, fields=fields or ("subject", "body"))
+        done = _classify_clean(done, task, overrides, scorers)
         score_name = "spam_score" if task == fixed.TASK_SPAM else "phishing_score"
         result = F.struct(F.col("score").alias(score_name), "label", "recommended_action")
         facts = {"result": result}
     else:
-        done = sanitize_requests(df, fields or ("subject", "body"))
         facts = {
             "result": _answer(done, task),
             "confidence": F.lit(fixed.CONFIDENCE[task]),
@@ -96,7 +109,6 @@ def score_messages(
             "feature_contributions": F.lit(None).cast("map<string,double>"),
         }
     latency = F.greatest(F.col(latency_col).cast("bigint"), F.lit(0)) if latency_col else F.lit(0).cast("bigint")
-    facts["usage"] = scoring.usage({f: F.col(f) for f in fields})
     out = done.withColumns(facts)
     return out.select(
         "request_id",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..operators import corpus, logs, review
 from ..operators.policy import policy_table
-from ..plans.score import score_messages
-from ..session import scratch_path
+from ..plans.score import prepare_requests, score_messages
+from ..session import materialize, scratch_path
 from ..sources import raw, retention, splits
 from . import base as b
 from .base import LOG, REQ, query, table
@@ -68,9 +68,11 @@ _RESULT = {
 @query("task_envelopes", " UNION ALL ".join([_classified_sql(t) for t in _CALLS] + [_other_sql(*t) for t in _OTHER]))
 def task_envelopes(spark, sf):
     """The answer to every message by every task."""
-    requests, policy, out = b.message_requests(spark, sf), policy_table(spark, b.POLICY_ROWS), None
+    # what the tasks share is worked out once; they read the request text, not the fields it is made of
+    requests = materialize(prepare_requests(b.message_requests(spark, sf)).drop("subject", "body", "doc_id"), "requests")
+    policy, out = policy_table(spark, b.POLICY_ROWS), None
     for task, (text, number) in _RESULT.items():
-        e = score_messages(requests, task, overrides=policy)
+        e = score_messages(requests, task, overrides=policy, prepared=True)
         decided = text is None and number.endswith(("spam_score", "phishing_score"))
         flat = e.select(
             F.col("request_id").cast("bigint").alias("doc_id"),

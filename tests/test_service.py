@@ -11,7 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from postlens import schemas
+from postlens import fixed, schemas
 from postlens.operators import review
 from postlens.session import scratch_path, shared_dir
 from postlens.sources import raw, retention, splits
@@ -207,3 +207,18 @@ def test_a_model_sees_the_first_4096_characters(spark):
     assert {r["id"]: (r["seen"], len(r["text"] or "")) for r in out.collect()} == {1: (4096, 5000), 2: (5, 5), 3: (-1, 0)}
     whole = run_external_model(df, lambda b: pd.DataFrame({"seen": b["text"].str.len().fillna(-1).astype("int64")}), StructType.fromDDL("seen long"), max_chars=None)
     assert whole.where("id = 1").first()["seen"] == 5000
+
+
+def test_prepared_requests_score_alike(spark, sf):
+    """The tasks share one sanitising pass; prepared or not, envelopes are equal, and the query sanitises once."""
+    from postlens.plans.score import prepare_requests, score_messages
+    from postlens.queries import service_queries
+
+    rows = [("1", "t", "Buy\x07 now", "free <script> " + "y" * 9000, None), ("2", None, None, "a\nb", " "), ("3", "u", "", "", "long thread\x01"), (None, "u", None, None, None)]
+    df = spark.createDataFrame(rows, "request_id string, tenant_id string, subject string, body string, thread string")
+    ready = prepare_requests(df).localCheckpoint().drop("subject", "body")
+    for task in fixed.TASKS:
+        a, b_ = (score_messages(x, task, prepared=p).drop("timestamp") for x, p in ((df, False), (ready, True)))
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b_.collect()))
+    out = service_queries.task_envelopes(spark, sf)
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
