@@ -1,7 +1,10 @@
 """Job lifecycle as keyed state: one row per change, state dropped after a job has ended.
 
 Every job has a state of its own in the state store: its current row, and the
-sequence numbers it has taken in, so that a repeated event counts once.  Events
+sequence numbers it has taken in, so that a repeated event counts once.  The
+numbers are bit masks over runs of 62; the run in use and the timer stand next
+to the row, so a job of few events is read once and written once per batch, and
+only other runs are entries of a map.  Events
 may come in any order within the watermark's delay.  An event-time timer per job
 drops its state: ``keep`` after its end, or ``idle`` after the last event of a
 job that never ends.  Events that late are below the watermark by then, so a
@@ -28,6 +31,10 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The state of a job; times are microseconds, ``rest`` is JSON of the carried columns.
 _STATE = "status string, ts long, seq long, rest string, created long, started long, updated long, ended long, changes long"
+#: Next to it: the job's timer, the run of sequence numbers in use and which of them came, and whether the map holds others.
+_KEPT = _STATE + ", timer long, run long, had long, more boolean"
+#: Sequence numbers of a run, a bit each of a long.
+_RUN = 62
 _ENDED = (fixed.JOB_COMPLETED, fixed.JOB_FAILED)
 
 
@@ -66,16 +73,24 @@ class JobStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", _STATE, self.ttl_ms)
-        self.seen = handle.getMapState("seen", "seq long", "ts long", self.ttl_ms)
+        self.state = handle.getValueState("job", _KEPT, self.ttl_ms)
+        self.seen = handle.getMapState("seen", "run long", "had long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self.state.get() if self.state.exists() else None
+        kept = self.state.get()
+        state, (timer, run, had, more) = (None, (None, None, 0, False)) if kept is None else (tuple(kept[:-4]), kept[-4:])
         changed = False
         for r in sorted(rows, key=lambda r: (r["ts"], r["seq"])):  # the events of one job in one batch
-            if self.seen.containsKey((r["seq"],)):
+            of, bit = r["seq"] // _RUN, 1 << r["seq"] % _RUN
+            if of != run:
+                if run is not None:
+                    self.seen.updateValue((run,), (had,))
+                had = self.seen.getValue((of,))[0] if more and self.seen.containsKey((of,)) else 0
+                run, more = of, more or run is not None
+                changed = True
+            if had & bit:
                 continue
-            self.seen.updateValue((r["seq"],), (r["ts"],))
+            had |= bit
             new = apply_event(state, (r["ts"], r["seq"], r["status"], r["rest"]))
             if _shown(new) != _shown(state):
                 new = (*new[:-1], new[-1] + 1)
@@ -86,16 +101,20 @@ class JobStates(StatefulProcessor):
                 )
             state, changed = new, True
         if changed:
-            self.state.update(state)
             if self.ttl_ms is None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                wait = self.keep_ms if state[0] in _ENDED else self.idle_ms
-                self.handle.registerTimer(state[6] // 1000 + wait)
+                due = state[6] // 1000 + (self.keep_ms if state[0] in _ENDED else self.idle_ms)
+                if due != timer:
+                    if timer is not None:
+                        self.handle.deleteTimer(timer)
+                    self.handle.registerTimer(due)
+                timer = due
+            self.state.update((*state, timer, run, had, more))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.state.get()
+        if kept is not None and kept[-1]:
+            self.seen.clear()
         self.state.clear()
-        self.seen.clear()
         return iter(())
 
     def close(self) -> None:

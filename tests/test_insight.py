@@ -6,7 +6,7 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from postlens.operators import anchors, answers, bulk, logs, metrics, registry, sketches, trends
 from postlens.session import scratch_path
@@ -375,3 +375,33 @@ def test_sketches_of_contents_are_combined_before_the_shuffle(spark):
     assert counters.count() == 4 * 64 and counters.agg(F.sum("n")).first()[0] == 4 * 40_000
     plan = plan_of(counters)
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate") and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_job_changes_ask_the_store_once_a_job(spark):
+    """A new job costs a read, a write and a timer, however many events it has; later runs of numbers still count once."""
+    from types import SimpleNamespace
+
+    asked, value, seen, timers = collections.Counter(), [], {}, set()
+
+    def call(name, work):
+        return lambda *a: (asked.update([name]), work(*a))[1]
+
+    state = SimpleNamespace(exists=call("exists", lambda: bool(value)), get=call("get", lambda: value[-1] if value else None), update=call("update", lambda v: value.append(tuple(v))))
+    runs = SimpleNamespace(
+        containsKey=call("map", lambda k: k in seen), getValue=call("map", seen.get), updateValue=call("map", lambda k, v: seen.update({k: v}))
+    )
+    handle = SimpleNamespace(
+        getValueState=lambda *a: state, getMapState=lambda *a: runs, listTimers=call("timer", lambda: iter(list(timers))),
+        deleteTimer=call("timer", timers.discard), registerTimer=call("timer", timers.add),
+    )
+    jobs_ = job_states.JobStates(1000, 5000, None)
+    jobs_.init(handle)
+
+    def batch(*numbers):
+        asked.clear()
+        rows = [Row(ts=n * 1_000_000, seq=n, status="running", rest=None) for n in numbers]
+        return len(list(jobs_.handleInputRows((1,), iter(rows), None)))
+
+    assert batch(0, 1, 2, 3, 4) == 5 and sum(asked.values()) == 3
+    assert batch(2, 3, 4, 5, 1000) == 2 and timers == {1000 * 1000 + 5000}
+    assert batch(0, 5, 1000) == 0 and batch(62, 1000, 1001, 2) == 1
