@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -74,9 +75,15 @@ def share(spark: SparkSession, value) -> Callable:
 
 
 def tidy() -> None:
-    """Give back what a task held; workers live on, and memos that refer to themselves would stay until the next collection."""
+    """Give back what a task held; workers live on, and memos that refer to themselves would stay until the next collection.
+
+    What the collector frees goes back to the system only when the C library, where it can, is told to.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def slices(texts: pa.Array, rows: int = ROWS, size: int = ROW_BYTES) -> Iterator[tuple[int, int]]:
