@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Memo, materialize, slices, tidy
+from .common import materialize, slices, tidy
 from .suffixes import Folder, repeated
 
 LENGTH = 400
@@ -123,6 +123,7 @@ def maybe(keys: Column, flags) -> Column:
     def run(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for n in numbers:
             yield pa.array(in_bitmap(flags.value, n.to_numpy(zero_copy_only=False)))
+        tidy()
 
     return F.arrow_udf(run, "boolean")(key_number(keys))
 
@@ -315,15 +316,13 @@ def repeated_words(texts: DataFrame, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh32_intdigest)
         for batch in batches:
             for at, n in slices(batch.column(0), 256):
                 data = [t.encode("utf-8") for t in batch.column(0).slice(at, n).to_pylist()]
-                codes = [np.fromiter(map(memo.__getitem__, d.split()), np.uint32).tobytes() for d in data]
+                codes = [np.fromiter(map(xxhash.xxh32_intdigest, d.split()), np.uint32).tobytes() for d in data]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.md5(d).digest() for d in data], pa.binary()), pa.array(codes, pa.binary())], names=["whole", "text"]
                 )
-        del memo
         tidy()
 
     length = CODE * words
@@ -336,15 +335,33 @@ def repeated_words(texts: DataFrame, words: int) -> DataFrame:
     return spans.join(wholes, "key").select(F.col("whole").alias("key"), "start", "end")
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
-    """``df`` plus kept (the bytes left, binary), n_bytes, n_removed and n_spans, a row per row.
+def left_of(data: bytes, spans: list[tuple[int, int]], runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """What is left of ``data`` without ``spans`` (start, end) of bytes and ``runs`` of words, how many bytes went and from how many places."""
+    if runs:
+        places = [w.span() for w in WORD.finditer(data)]
+        spans = spans + [(places[a][0], places[b - 1][1]) for a, b in runs]
+    out, at, removed, count = [], 0, 0, 0
+    for start, end in sorted(spans):
+        if start > at or not count:
+            out.append(data[at:start])
+            count += 1
+            removed += end - start
+            at = end
+        elif end > at:
+            removed += end - at
+            at = end
+    out.append(data[at:])
+    return b"".join(out), removed, count
 
-    Every byte covered by a string of ``length`` bytes that starts at another
-    place too, in any row, is removed; strings are judged on the input, and a
-    row that is repeated counts as two places.  Null counts as the empty text.
-    With ``words``, so do runs of so many words, from the first byte of the first
-    word to the last byte of the last, whatever white space is between them.
-    Columns of ``df`` with the added names are replaced.
+
+#: What without_repeats adds.
+MADE = ("kept", "n_bytes", "n_removed", "n_spans")
+
+
+def _cut(df: DataFrame, text: str, length: int, words: int, decoded: bool) -> DataFrame:
+    """row (the columns of ``df`` but ``text`` and ``MADE``), given (whether there is a text), data (its bytes) and ``MADE``.
+
+    With ``decoded``, kept is a string without the characters that were cut in half.
     """
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
     spans = repeated_spans(texts, length).withColumn("worded", F.lit(False))
@@ -354,70 +371,64 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, wor
         F.collect_set(F.when(~F.col("worded"), F.struct("start", "end"))).alias("spans"),
         F.collect_set(F.when(F.col("worded"), F.struct("start", "end"))).alias("runs"),
     )
-    made = ("kept", "n_bytes", "n_removed", "n_spans")
-    keep = [c for c in df.columns if c not in made]
+    keep = [F.col(c) for c in df.columns if c not in MADE and c != text]
     data = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit("").cast("binary"))
-    row = df.select(F.struct(*keep).alias("row"), data.alias("data"), F.unhex(F.md5(data)).alias("key"))
+    row = df.select(
+        F.struct(*keep or [F.lit(True)]).alias("row"), F.col(text).isNotNull().alias("given"), data.alias("data"), F.unhex(F.md5(data)).alias("key")
+    )
     per_text = materialize(per_text, "repeated-spans")
     some = bitmap(per_text.select(key_number(F.col("key")).alias("n")))
     row = row.select("*", F.explode(F.array(maybe(F.col("key"), some))).alias("some"))
 
-    def in_bytes(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for data, starts, ends in pieces:
-            out = []
-            for d, a, b in zip(data.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-                places = [w.span() for w in WORD.finditer(d)] if a else []
-                out.append([{"start": places[x][0], "end": places[y - 1][1]} for x, y in zip(a or [], b or [])])
-            yield pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    def cut(pieces: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        kept_type = pa.string() if decoded else pa.binary()
+        kind = pa.struct([("kept", kept_type), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+        for columns in pieces:
+            parts = []
+            for at, n in slices(columns[0], 256):
+                out = []
+                for d, *found in zip(*(c.slice(at, n).to_pylist() for c in columns)):
+                    a, b, x, y = (f or [] for f in found)
+                    kept, removed, count = left_of(d, list(zip(a, b)), list(zip(x, y)))
+                    out.append((kept.decode("utf-8", "ignore") if decoded else kept, removed, count))
+                parts.append(pa.array(out, kind))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        tidy()
 
-    byte_spans = F.col("spans")
-    if words:
-        byte_spans = F.concat(
-            F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")),
-            F.arrow_udf(in_bytes, "array<struct<start:bigint,end:bigint>>")("data", "runs.start", "runs.end"),
-        )
-    joined = (
+    # all that is done to a text is one UDF, as each takes a worker per task; texts without a repeat stay in the JVM
+    cutter = F.arrow_udf(cut, f"struct<kept:{'string' if decoded else 'binary'},n_removed:bigint,n_spans:bigint>")
+    n_bytes = F.octet_length("data").cast("long").alias("n_bytes")
+    found = (
         row.where("some")
         .join(per_text, "key", "left")
-        .select("row", "data", byte_spans.alias("spans"))
-        .unionAll(row.where("NOT some").select("row", "data", F.lit(None).cast(per_text.schema["spans"].dataType).alias("spans")))
-    )
-    # runs: the spans in order, each start after the furthest end before it
-    merged = F.aggregate(
-        F.sort_array(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda runs, s: F.when(
-            (F.size(runs) > 0) & (F.element_at(runs, -1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(runs, 1, F.size(runs) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(runs, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(runs, -1)["end"], s["end"]).alias("end"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(runs, F.array(s))),
+        .select("row", "given", "data", n_bytes, F.inline(F.array(cutter("data", "spans.start", "spans.end", "runs.start", "runs.end"))))
     )
-    found = joined.select("row", "data", merged.alias("runs"))
-
-    def cut(pieces: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for data, starts, ends in pieces:
-            out = []
-            for d, a, b in zip(data.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-                edges = [0, *(x for pair in zip(a, b) for x in pair), len(d)]
-                out.append(b"".join(d[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
-            yield pa.array(out, pa.binary())
-
-    cutter = F.arrow_udf(cut, "binary")
-    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
-    return found.select(
-        "row.*",
-        F.when(F.size("runs") == 0, F.col("data")).otherwise(cutter("data", "runs.start", "runs.end")).alias("kept"),
-        F.octet_length("data").cast("long").alias("n_bytes"),
-        removed.alias("n_removed"),
-        F.size("runs").cast("long").alias("n_spans"),
+    none = F.lit(0).cast("long")
+    whole = row.where("NOT some").select(
+        "row",
+        "given",
+        "data",
+        n_bytes,
+        F.col("data").cast("string" if decoded else "binary").alias("kept"),
+        none.alias("n_removed"),
+        none.alias("n_spans"),
     )
+    return found.unionAll(whole)
+
+
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``df`` plus kept (the bytes left, binary), n_bytes, n_removed and n_spans, a row per row.
+
+    Every byte covered by a string of ``length`` bytes that starts at another
+    place too, in any row, is removed; strings are judged on the input, and a
+    row that is repeated counts as two places.  Null counts as the empty text.
+    With ``words``, so do runs of so many words, from the first byte of the first
+    word to the last byte of the last, whatever white space is between them.
+    Columns of ``df`` with the added names are replaced.
+    """
+    found = _cut(df, text, length, words, decoded=False)
+    own = F.when(F.col("given"), F.col("data").cast("string")).cast(df.schema[text].dataType).alias(text)
+    return found.select(*[own if c == text else F.col("row").getField(c).alias(c) for c in df.columns if c not in MADE], *MADE)
 
 
 def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
@@ -425,10 +436,8 @@ def drop_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, words:
 
     Rows stay, with an empty text if nothing is left; null stays null.
     """
-
-    def decode(kept: pa.Array) -> pa.Array:
-        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
-
-    found = without_repeats(df, text, length, words)
-    left = F.when(F.col(text).isNotNull(), F.arrow_udf(decode, "string")("kept"))
-    return found.select(*[left.alias(c) if c == text else F.col(c) for c in df.columns])
+    found = _cut(df, text, length, words, decoded=True)
+    left = F.when(F.col("given"), F.col("kept")).alias(text)
+    return found.select(
+        *[left if c == text else F.col(c) if c in MADE else F.col("row").getField(c).alias(c) for c in df.columns]
+    )

@@ -144,6 +144,24 @@ def test_dropped_repeats_are_text(spark):
     assert repeats.without_repeats(frame(spark, []).limit(0)).count() == 0
 
 
+def test_a_text_is_cut_by_one_worker_and_shuffled_once(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    df = frame(spark, [(1, text), (2, "é" + text), (3, None), (4, "alone")])
+    df = df.select("doc_id", "text", F.lit("mine").alias("n_spans"), F.col("doc_id").alias("a b"))
+    found = repeats.drop_repeats(df, words=51)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3  # the bitmap in front of the shuffle and beside it, the cut behind
+    assert found.columns == df.columns
+    assert {tuple(r) for r in found.collect()} == {(1, "", 1, 1), (2, "é", 1, 2), (3, None, 0, 3), (4, "alone", 0, 4)}
+
+
+def test_what_is_left_of_a_text():
+    data = b"  ab  cd ef gh"
+    assert repeats.left_of(data, [], []) == (data, 0, 0)
+    assert repeats.left_of(data, [(0, 2), (2, 4), (1, 3)], []) == (b"  cd ef gh", 4, 1)
+    assert repeats.left_of(data, [(12, 14)], [(0, 2), (1, 2)]) == (b"   ef ", 8, 2)
+
+
 def plain_contamination(docs, items, window=10):
     cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     windows = [
