@@ -9,7 +9,10 @@ if none is left the position is marked as failed in a bitfield and the walk
 steps back.  No position is tried twice, which keeps long strings linear.
 
 Pieces hold the blank sign only in front, so a text is cut before each run of
-blanks and the chunks are encoded by themselves, once per worker and chunk.
+blanks and the chunks are encoded by themselves, once per worker and chunk.  A
+chunk is cut further where a letter (a character that pieces link to most
+others) meets one that stands next to no such letter in any piece; no merge
+crosses such a place.
 Characters without a piece become the pieces of their UTF-8 bytes and separate
 what stands around them.  Runs of several blanks are merged directly: their
 pieces share one score, and neighbours do not decide between equal scores.
@@ -21,7 +24,7 @@ import codecs
 import hashlib
 import heapq
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
@@ -38,12 +41,36 @@ UNKNOWN = " \u2047 "
 _UNKNOWN = "\ud800"
 #: Stands for a piece without a text, which ends a run of bytes.
 _NOTHING = "\ud801"
+#: Below all scores.
+NEVER = float("-inf")
 #: Pairs of pieces that one worker remembers.
 MEMO_PAIRS = 400_000
 
 codecs.register_error("replace_each", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def linked_letters(pieces: Iterable[str]) -> str:
+    """The largest set of characters that stand next to each other in pieces, as a class of a regular expression.
+
+    No piece holds one of them next to a character outside, leading blank signs aside.
+    """
+    owner: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while owner.setdefault(c, c) != c:
+            owner[c] = c = owner[owner[c]]
+        return c
+
+    for piece in pieces:
+        piece = piece.lstrip(BLANK)
+        for a, b in zip(piece, piece[1:]):
+            owner[root(a)] = root(b)
+    sets: dict[str, list[str]] = {}
+    for c in owner:
+        sets.setdefault(root(c), []).append(c)
+    return "".join(map(re.escape, sorted(max(sets.values(), key=len, default=["a"]))))
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a model file."""
 
@@ -59,6 +86,9 @@ class PieceModel:
         if len(self.bytes) != 256 or any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a model with byte pieces and blanks only in front of pieces is needed")
         self.ids = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}
+        #: The next shorter piece that a piece begins with, or "".
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), "") for p in self.ids}
+        self.letters = linked_letters(self.scores)
 
     def merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first among equals, until no piece comes of any two."""
@@ -66,15 +96,16 @@ class PieceModel:
         if len(parts) < 2:
             return parts
         if len(parts) <= 48:
-            costs = [-scores.get(a + b, float("-inf")) for a, b in zip(parts, parts[1:])]
-            while costs and (best := min(costs)) != float("inf"):
-                i = costs.index(best)
-                parts[i] += parts[i + 1]
-                del parts[i + 1], costs[i]
+            get = scores.get
+            found = [get(a + b, NEVER) for a, b in zip(text, text[1:])]
+            while found and (best := max(found)) != NEVER:
+                i = found.index(best)
+                parts[i] += parts.pop(i + 1)
+                del found[i]
                 if i:
-                    costs[i - 1] = -scores.get(parts[i - 1] + parts[i], float("-inf"))
-                if i < len(costs):
-                    costs[i] = -scores.get(parts[i] + parts[i + 1], float("-inf"))
+                    found[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+                if i < len(found):
+                    found[i] = get(parts[i] + parts[i + 1], NEVER)
             return parts
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -102,10 +133,13 @@ class Encoder:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for piece in model.ids:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         self.pairs = Memo(lambda ab: model.merge(ab[0] + ab[1]) == [*ab], pairs)
         self.words = Memo(self._word, words)
+        self.runs = Memo(self._run, words)
+        self.cut = re.compile(f"[{model.letters}]+|[^{model.letters}]+").findall
+        self.number = {p: str(i) for p, i in model.ids.items()}
         table = {str(i): p.replace(BLANK, " ") for p, i in model.ids.items()}
         # bytes from 128 on wait as surrogates until the whole run is there
         table |= {str(i): chr(b) if b < 128 else chr(0xDC00 + b) for b, i in model.bytes.items()}
@@ -113,61 +147,52 @@ class Encoder:
 
     def chunk(self, text: str) -> list[str]:
         """The pieces of a chunk; a character without a piece stands for itself."""
-        n, pairs = len(text), self.pairs
-        at: list[list[str]] = [[] for _ in range(n)]
-        for last, piece in self.automaton.iter(text):
-            at[last + 1 - len(piece)].append(piece)  # by growing length
+        n, pairs, shorter = len(text), self.pairs, self.model.shorter
+        longest: list[str | None] = [None] * (n + 1)
+        for last, (back, piece) in self.automaton.iter(text):
+            longest[last - back] = piece  # longer ones come later
         failed = bytearray(n // 8 + 1)
-        path: list[tuple[int, int]] = []  # position and which of its pieces, counted from the shortest
-        pos, choice = 0, len(at[0]) - 1 if n else -1
+        path: list[str] = []  # a piece, or "" for a character in bytes, which pairs with anything
+        starts: list[int] = []
+        pos, piece, before = 0, longest[0], ""
         while pos < n:
-            found = at[pos]
-            if not found:  # no piece starts here: a character in bytes, which pairs with anything
-                path.append((pos, -1))
+            if longest[pos] is None:  # no piece starts here
+                path.append("")
+                starts.append(pos)
                 pos += 1
-                choice = len(at[pos]) - 1 if pos < n else -1
+                piece, before = longest[pos], ""
                 continue
-            before = None
-            if path and path[-1][1] >= 0:
-                p, c = path[-1]
-                before = at[p][c]
-            while choice >= 0:
-                piece = found[choice]
+            while piece:
                 end = pos + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (before is None or pairs[before, piece]):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not before or pairs[before, piece]):
                     break
-                choice -= 1
-            if choice >= 0:
-                path.append((pos, choice))
-                pos = end
-                choice = len(at[pos]) - 1 if pos < n else -1
+                piece = shorter[piece]
+            if piece:
+                path.append(piece)
+                starts.append(pos)
+                pos, piece, before = end, longest[end], piece
                 continue
             failed[pos >> 3] |= 1 << (pos & 7)
-            while True:  # back to the last position that has a shorter piece
-                pos, choice = path.pop()
-                if choice >= 0:
-                    choice -= 1
-                    break
-        return [at[p][c] if c >= 0 else text[p] for p, c in path]
+            while not piece:  # back to the last position that has a shorter piece
+                piece, pos = path.pop(), starts.pop()
+                piece = piece and shorter[piece]
+            before = path[-1] if path else ""
+        return [p or text[i] for p, i in zip(path, starts)]
 
     def _word(self, word: str) -> str:
         """The ids, joined by blanks, of ``word`` behind a blank sign."""
-        if "\n" in word and len(word) > 1:
-            # a line feed has no piece, so what stands around it is encoded by itself
-            first, *rest = word.split("\n")
-            line = " ".join(self._ids(["\n"]))
-            return " ".join([self.words[first], *(f"{line} {self._bare(r)}" if r else line for r in rest)])
-        return " ".join(self._ids(self.chunk(BLANK + word)))
+        first, *rest = self.cut(word) or [""]
+        return " ".join([self.runs[BLANK + first], *map(self.runs.__getitem__, rest)])
 
-    def _bare(self, word: str) -> str:
-        return " ".join(self._ids(self.chunk(word)))
+    def _run(self, text: str) -> str:
+        return " ".join(self._ids(self.chunk(text)))
 
     def _ids(self, parts: list[str]) -> list[str]:
-        ids, bytes_ = self.model.ids, self.model.bytes
+        number, bytes_ = self.number, self.model.bytes
         out = []
         for p in parts:
-            i = ids.get(p)
-            out += [str(i)] if i is not None else [str(bytes_[b]) for b in p.encode("utf-8", "replace")]
+            i = number.get(p)
+            out += [i] if i is not None else [str(bytes_[b]) for b in p.encode("utf-8", "replace")]
         return out
 
     def encode(self, text: str | None) -> str:

@@ -90,6 +90,21 @@ def test_pieces_equal_the_library_on_random_strings():
         assert encoder.decode(" ".join(map(str, ids))) == sp.decode(ids)
 
 
+def test_letters_are_encoded_once_whatever_stands_behind_them(monkeypatch):
+    model = pieces.PieceModel(MODEL)
+    encoder, letters = pieces.Encoder(model), re.compile(f"[{model.letters}]")
+    inside = [piece.lstrip("▁") for piece in model.scores]
+    assert not any(bool(letters.match(a)) != bool(letters.match(b)) for p in inside for a, b in zip(p, p[1:]))
+    seen, chunk = [], encoder.chunk
+    monkeypatch.setattr(encoder, "chunk", lambda text: seen.append(text) or chunk(text))
+    words = ["trelleaux", "thoneawh", "Enungen"]
+    text = " ".join(f"{w}{end}" for w in words for end in ["", ".", ",", "!!", ".\nthe", "\n" + w])
+    want = sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+    assert encoder.encode(text) == " ".join(map(str, want))
+    assert sorted(t for t in seen if t.lstrip("▁") in words) == sorted(["▁" + w for w in words] + words)
+    assert len(seen) == len(set(seen)) == 12
+
+
 def test_round_trip_of_odd_rows(odd, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = []
