@@ -128,8 +128,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_suffix_array_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=51)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 #: The table with quotes added: of each message, by turn, all of the one before, its first line, or that and the one before it nested.

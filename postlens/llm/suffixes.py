@@ -26,6 +26,8 @@ import numpy as np
 BATCH = 1 << 18
 #: Below so many suffixes per letter the recursion ends in rank doubling.
 FEW = 200
+#: One in so many S* suffixes is compared with its neighbour from its first letter on.
+EVERY = 8
 
 
 class Folder:
@@ -105,9 +107,11 @@ def names(t: np.ndarray, stars: np.ndarray) -> np.ndarray:
     return np.unique(name, return_inverse=True)[1]
 
 
-def shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, step: int = 16) -> np.ndarray:
-    """Letters that the suffixes at ``a`` and ``b`` have in common, up to ``cap``."""
+def shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, least: np.ndarray | None = None, step: int = 16) -> np.ndarray:
+    """Letters that the suffixes at ``a`` and ``b`` have in common, up to ``cap``; ``least`` of them are known."""
     out = np.zeros(len(a), np.int32)
+    known = out.copy() if least is None else least.astype(np.int32)
+    a, b = a + known, b + known
     live, at, last, reach = np.arange(len(a)), 0, len(t) - 1, np.arange(step)
     while len(live) and at < cap:
         rest = []
@@ -120,7 +124,31 @@ def shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, step: int = 16
             out[part] = at + np.where(whole, step, same.argmin(axis=1))
             rest.append(part[whole])
         live, at = np.concatenate(rest) if rest else live[:0], at + step
-    return np.minimum(out, cap)
+        live = live[known[live] + at < cap]
+    return np.minimum(out + known, cap)
+
+
+def star_prefixes(t: np.ndarray, stars: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+    """What each S* suffix shares with the one before it in ``order``, up to ``cap``, in that order; ``stars`` are in text order.
+
+    Each ``EVERY``-th of the text is compared from its start.  Where one shares n
+    letters, a suffix d letters behind it shares n - d at least with some S*
+    suffix before it, if the n letters reach to the next S* place, which settles
+    its type; it is compared from there on.
+    """
+    before = np.empty(len(stars), np.int64)
+    before[order[1:]] = stars[order[:-1]]
+    before[order[0]] = len(t) - 1  # the end stands nowhere else
+    out = np.zeros(len(stars), np.int32)
+    out[::EVERY] = shared(t, stars[::EVERY], before[::EVERY], cap)
+    rest = np.flatnonzero(np.arange(len(stars)) % EVERY)
+    near = rest - rest % EVERY
+    behind = stars[rest] - stars[near]
+    next_one = np.append(stars, len(t))[rest + 1]
+    least = np.where(stars[near] + out[near] > next_one, out[near] - behind, 0)
+    out[rest] = shared(t, stars[rest], before[rest], cap, least)
+    out[order[0]] = 0
+    return out[order]
 
 
 class Smallest:
@@ -247,12 +275,8 @@ def suffix_order(t: np.ndarray, folder: Folder, cap: int = 0) -> tuple[np.ndarra
         order = doubled(name)
     else:
         order = suffix_order(name, folder)[0]
-    stars = stars[order]
-    star_lcp = None
-    if cap:
-        star_lcp = np.zeros(len(stars), np.int32)
-        star_lcp[1:] = shared(t, stars[:-1], stars[1:], cap)
-    return Induction(t, is_s, folder, cap).run(stars, star_lcp)
+    star_lcp = star_prefixes(t, stars, order, cap) if cap else None
+    return Induction(t, is_s, folder, cap).run(stars[order], star_lcp)
 
 
 def repeated(text: np.ndarray, length: int, folder: Folder) -> np.ndarray:

@@ -144,6 +144,53 @@ def test_dropped_repeats_are_text(spark):
     assert repeats.without_repeats(frame(spark, []).limit(0)).count() == 0
 
 
+def test_passages_are_counted_and_stay(spark):
+    rng = random.Random(51)
+    stock = [[rng.choice(["a", "bé", "w%d" % rng.randrange(300)]) for _ in range(rng.randint(40, 70))] for _ in range(6)]
+    texts = [None, "", "one two", " ".join(stock[0]), "ab " * 200, "x y\tz " * 40]
+    for i in range(30):
+        words = ["u%d_%d" % (i, k) for k in range(60)]
+        for _ in range(2):
+            at, passage = rng.randrange(60), rng.choice(stock)
+            words[at:at] = passage[: rng.randint(45, 70)]
+        texts.append(rng.choice([" ", "\n", " \t"]).join(words))
+    texts.append(texts[7])
+    windows = collections.Counter(tuple(w[k : k + 51]) for w in ((t or "").encode().split() for t in texts) for k in range(len(w) - 50))
+    want = []
+    for w in ((t or "").encode().split() for t in texts):
+        want.append(len({k + j for k in range(len(w) - 50) if windows[tuple(w[k : k + 51])] > 1 for j in range(51)}))
+    got = repeats.without_repeats(frame(spark, enumerate(texts)), passages=51).orderBy("doc_id").collect()
+    assert [r["n_passage_words"] for r in got] == want
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got] == plain_repeats(texts, 400)
+    assert any(r["n_passage_words"] and not r["n_removed"] for r in got)
+
+
+@pytest.mark.parametrize("unit", [1, repeats.CODE])
+def test_segments_hold_each_start_once(monkeypatch, unit):
+    monkeypatch.setattr(repeats, "PLACE", 6)
+    rng = random.Random(unit)
+    data = b"".join(rng.choice([b"abcd", b"bcda", b"zzzz", b"%04d" % rng.randrange(9999)]) for _ in range(400)) + b"abcdbcda" * 60
+    hashes = {}
+    m, first, last, at, moves = (x.tolist() for x in repeats.segments(data, 80, unit))
+    assert [a for a, b in zip(first, last) for a in range(a, b + unit, unit)] == list(range(0, len(data) - 79, unit))
+    for x, a, b, place in zip(m, first, last, at):
+        assert a <= place <= a + 80 - repeats.GRAM
+        for start in range(a, b + unit, unit):
+            assert hashes.setdefault(data[start : start + 80], x) == x
+    assert any(moves) and not all(moves)
+
+
+def test_words_have_codes_of_their_own():
+    rng = random.Random(8)
+    for size in (1, 7, 1 << 16):
+        coder, codes = repeats.WordCodes(size), {}
+        for _ in range(40):
+            data = "".join(rng.choice(["a", "b", "é", "\x00", " ", "\n", "\t ", "\x0b", "\x0c", "\r", "\xa0", "long" * 9]) for _ in range(rng.randint(0, 90))).encode()
+            got = coder.codes(data).tolist()
+            assert len(got) == len(data.split()) and all(codes.setdefault(w, c) == c > 0 for w, c in zip(data.split(), got))
+        assert len(set(codes.values())) == len(codes) > 50
+
+
 def test_a_text_is_cut_by_one_worker_and_shuffled_once(spark):
     text = " ".join(f"w{i}" for i in range(300))
     df = frame(spark, [(1, text), (2, "é" + text), (3, None), (4, "alone")])
