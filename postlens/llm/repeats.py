@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, slices, tidy
+from .common import ROWS, materialize, slices, tidy
 from .suffixes import BATCH, Folder, repeated
 
 LENGTH = 400
@@ -346,19 +346,30 @@ def shard_spans(parts: DataFrame, shards: int, length: int, unit: int) -> DataFr
                 text, width = digits(np.memmap(f"{folder.path}/text", np.uint32, "r", shape=(size,)), folder)
             letters = length // unit
             found = repeated(text, letters * width, folder)[: size * width : width]
-            at = 0
+            at, held = 0, []
+
+            def spans() -> pa.RecordBatch:
+                by_key, starts, ends = zip(*held)
+                every = [k for k, x in zip(by_key, starts) for _ in range(len(x))]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(every, pa.binary()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))],
+                    names=["key", "start", "end"],
+                )
+
             for i, n in enumerate(sizes):
                 hit = found[at : at + max(n - letters, 0)]
                 at += n
+                if len(held) == ROWS:
+                    yield spans()
+                    held.clear()
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 if not len(edge):
                     continue
                 start = unshortened(edge[::2] * unit, cuts[i], "right") + firsts[i]
                 end = unshortened((edge[1::2] - 1) * unit + length, cuts[i], "left") + firsts[i]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i]] * len(start), pa.binary()), pa.array(start), pa.array(end)],
-                    names=["key", "start", "end"],
-                )
+                held.append((keys[i], start, end))
+            if held:
+                yield spans()
             del text, found
         tidy()
 
