@@ -162,13 +162,19 @@ def stratified_split(
         F.max(F.when(F.col("_rank") == F.col("_val_rank"), key)).alias("_val_end"),
     )
     key = F.struct(F.col("_pos"), F.col(id_col).alias("_id"))
+    if label_col:
+        placed = keyed.join(broadcast_if_small(points), "_label", "left")
+    else:  # one label has two cut points at most, which need no join
+        ends = {c: points.schema[c].dataType for c in ("_train_end", "_val_end")}
+        found = points.first() or dict.fromkeys(ends)
+        literal = lambda end, kind: F.struct(*[F.lit(end[f.name]).cast(f.dataType).alias(f.name) for f in kind]) if end else F.lit(None).cast(kind)
+        placed = keyed.withColumns({c: literal(found[c], kind) for c, kind in ends.items()})
     split = (
         F.when(key <= F.col("_train_end"), "train")
         .when(key <= F.col("_val_end"), "val")
         .otherwise("test")
     )
-    out = keyed.join(broadcast_if_small(points), "_label", "left").withColumn("split", split)
-    return out.select(*df.columns, "split")
+    return placed.withColumn("split", split).select(*df.columns, "split")
 
 
 def split_sizes(df: DataFrame, label_col: str = "label") -> DataFrame:
