@@ -17,6 +17,7 @@ __all__ = [
     "BROADCAST_BYTES",
     "Memo",
     "ascii_lower",
+    "bounded_batches",
     "broadcast_if_bounded",
     "in_fold",
     "map_rows",
@@ -34,6 +35,8 @@ MEMO_WORDS = 400_000
 MEMO_KEY = 256
 #: Rows and bytes of text that a map holds as Python objects at a time; one row may be longer.
 ROWS, ROW_BYTES = 500, 4 << 20
+#: Bytes of rows that travel to Python in one batch, and the setting for it; one row may be longer.
+BATCH_BYTES, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -86,6 +89,18 @@ def tidy() -> None:
         trim(0)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python ``BATCH_BYTES`` at a time, unless it has a setting of its own.
+
+    Spark's default is 64 MB, that is 10,000 texts in one buffer.  Buffers of many megabytes cost more than they
+    hold: the C library raises its bounds to the largest one given back, and then keeps as much for each thread.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def slices(texts: pa.Array, rows: int = ROWS, size: int = ROW_BYTES) -> Iterator[tuple[int, int]]:
     """(start, rows) of runs of texts within both bounds, one text at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

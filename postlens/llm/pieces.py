@@ -32,7 +32,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import MEMO_WORDS, Memo, map_rows, share
+from .common import MEMO_WORDS, Memo, bounded_batches, map_rows, share
 
 BLANK = "▁"
 #: What the unknown piece decodes to; fixed.
@@ -296,7 +296,8 @@ def encode_rows(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     A null or empty text has the end id alone and becomes the empty text; a
     repeated row is a row of its own.  Columns ids and n_tokens of ``df`` are replaced.
     """
-    encoder = load(df, model, words=MEMO_WORDS // 4, pairs=MEMO_PAIRS // 4)  # next to texts and ids
+    df = bounded_batches(df)
+    encoder = load(df, model, words=MEMO_WORDS // 8, pairs=MEMO_PAIRS // 8)  # next to texts and ids
     keep = [c for c in df.columns if c not in (text, "ids", "n_tokens")]
 
     def work():

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ROWS, materialize, slices, tidy
+from .common import ROWS, bounded_batches, materialize, slices, tidy
 from .suffixes import BATCH, Folder, repeated
 
 LENGTH = 400
@@ -520,6 +520,7 @@ def _cut(df: DataFrame, text: str, length: int, words: int, decoded: bool, passa
 
     With ``decoded``, kept is a string without the characters that were cut in half.
     """
+    df = bounded_batches(df)
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
     spans = repeated_spans(texts, length).withColumn("kind", F.lit("bytes"))
     if words:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows, materialize
+from .common import bounded_batches, map_rows, materialize
 
 BITS = 64
 SHINGLE = 3
@@ -238,6 +238,7 @@ def keep_one(
     the fingerprint 0 and are a component like any other.  The columns come back
     as they are, whatever their names.
     """
+    df = bounded_batches(df)
     rows = materialize(df.select(F.monotonically_increasing_id().alias("r"), F.struct(*df.columns).alias("doc")), "keep-rows")
     narrow = rows.select("r", F.col(f"doc.`{doc_id}`").alias("id"), F.col(f"doc.`{text}`").alias("t"))
     found = near_duplicates(narrow, "r", "t", size, radius).where("copies > 1").select("r", "component_id")

@@ -4,7 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 import xxhash
+from postlens.llm import common
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,3 +124,28 @@ def test_passages_of_over_50_words_are_cut(spark):
     got = {r["doc_id"]: r["text"] for r in stage("suffix_array_dedup", spark, docs_of(spark, rows))}
     assert {i: t.split() for i, t in got.items()} == want
     assert all(got[i] == t for i, t in rows if i < 4)
+
+
+@pytest.mark.parametrize("name", ["simhash_near_dedup", "suffix_array_dedup", "sentencepiece_ids"])
+def test_batches_are_bounded_and_change_nothing(spark, name):
+    """Texts go to Python a few megabytes at a time, and rows come out the same one by one."""
+    rng = random.Random(12)
+    passage = " ".join(prose(rng, 70))
+    texts = [" ".join(prose(rng, 60)) for _ in range(6)]
+    docs = docs_of(spark, [(i, t) for i, t in enumerate([*texts, texts[0], f"{texts[1]} {passage}", f"{passage} {texts[2]}", ""])])
+    long = spark.range(0, 3000, 1, 1).selectExpr("repeat('ab ', 1000) AS text")
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        whole = sorted(map(repr, stage(name, spark, docs)))
+        sizes = [r["n"] for r in long.mapInArrow(count, "n long").collect()]
+        assert sum(sizes) == 3000 and max(sizes) * 3000 <= common.BATCH_BYTES + (1 << 16)
+        spark.conf.set(common.BATCH_SETTING, "1")  # a batch per row; a session's own setting stays
+        assert sorted(map(repr, stage(name, spark, docs))) == whole
+        assert spark.conf.get(common.BATCH_SETTING).rstrip("b") == "1"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
