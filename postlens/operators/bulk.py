@@ -38,8 +38,18 @@ def contents(df: DataFrame, *, tenant_col: str = "tenant_id", text_col: str = "t
     )
 
 
+def _cell(content: Column, row: int, width: int) -> Column:
+    return F.pmod(F.xxhash64(content, F.lit(row)), F.lit(width))
+
+
 def _cells(content: Column, depth: int, width: int) -> Column:
-    return F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64(content, F.lit(d)), F.lit(width)).alias("cell")) for d in range(depth)])
+    return F.array(*[F.struct(F.lit(d).alias("row"), _cell(content, d, width).alias("cell")) for d in range(depth)])
+
+
+def _word_and_bit(row: Column, cell: Column, width: int) -> tuple[Column, Column]:
+    """The word of 64 counters that holds the bit of a counter, and the place of the bit in it."""
+    place = row.cast("long") * F.lit(width) + cell
+    return F.shiftrightunsigned(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
 
 
 def count_min(messages: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
@@ -57,10 +67,27 @@ def merge_count_min(sketches: DataFrame) -> DataFrame:
     return sketches.groupBy(*KEYS, "row", "cell").agg(F.sum("n").alias("n"))
 
 
-def heavy_cells(sketch: DataFrame, threshold: int) -> DataFrame:
-    """tenant_id, hour and cells: the (row, cell) whose counter reaches the threshold."""
-    heavy = sketch.where(F.col("n") >= threshold)
-    return heavy.groupBy(*KEYS).agg(F.collect_set(F.struct("row", "cell")).alias("cells"))
+def heavy_cells(sketch: DataFrame, threshold: int, width: int = WIDTH) -> DataFrame:
+    """tenant_id, hour, words and bits: the counters that reach the threshold, one bit each.
+
+    Words without a bit are left out, so a tenant and hour take at most
+    ``depth * width / 64`` words, and few where few counters are heavy.
+    """
+    word, bit = _word_and_bit(F.col("row"), F.col("cell"), width)
+    heavy = sketch.where(F.col("n") >= threshold).select(*KEYS, word.alias("word"), bit.alias("bit"))
+    words = heavy.groupBy(*KEYS, "word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    packed = words.groupBy(*KEYS).agg(F.collect_list(F.struct("word", "bits")).alias("w"))
+    return packed.select(*KEYS, F.col("w.word").alias("words"), F.col("w.bits").alias("bits"))
+
+
+def _held(content: Column, depth: int, width: int) -> Column:
+    """Has every counter of the content its bit in ``words`` and ``bits``?  Null counts as no."""
+
+    def bit_of(row: int) -> Column:
+        word, bit = _word_and_bit(F.lit(row), _cell(content, row, width), width)
+        return F.getbit(F.get("bits", F.array_position("words", word).cast("int") - 1), bit) == 1
+
+    return functools.reduce(Column.__and__, [bit_of(d) for d in range(depth)])
 
 
 def bulk_senders(
@@ -70,17 +97,17 @@ def bulk_senders(
 
     ``messages`` is :func:`contents`; ``sketch`` its merged counters, if loads
     have theirs already.  The counters that reach the threshold are at most the
-    messages over the threshold, times the depth; they are broadcast if few
+    messages over the threshold, times the depth; their bits are broadcast if few
     enough, else the messages of a tenant and hour are dealt to salted parts.
+    A message looks at ``depth`` bits, however many counters are heavy.
     """
     counters = materialize(count_min(messages, depth, width) if sketch is None else sketch, "count-min")
-    heavy = materialize(heavy_cells(counters, threshold), "heavy-cells").withColumnsRenamed({k: f"_{k}" for k in KEYS})
+    heavy = materialize(heavy_cells(counters, threshold, width), "heavy-cells").withColumnsRenamed({k: f"_{k}" for k in KEYS})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]
     small = broadcast_if_small(heavy)
     if small is heavy:
         small = heavy.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         messages = messages.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
         same.append(F.col("_part") == F.col("_salt"))
-    held = F.forall(_cells(F.col("content"), depth, width), lambda c: F.array_contains("cells", c))
-    possible = messages.join(small, functools.reduce(Column.__and__, same)).where(held)
+    possible = messages.join(small, functools.reduce(Column.__and__, same)).where(_held(F.col("content"), depth, width))
     return possible.groupBy(*KEYS, "content").agg(F.count("*").alias("n")).where(F.col("n") >= threshold)

@@ -377,6 +377,24 @@ def test_sketches_of_contents_are_combined_before_the_shuffle(spark):
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate") and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_heavy_counters_are_bits_that_a_message_looks_up(spark):
+    """Full or sparse, a tenant and hour take a word per 64 counters at most; no message walks the heavy counters one by one."""
+    rnd = random.Random(3)
+    cells = {"full": {(r, c) for r in range(4) for c in range(100)}, "one": {(3, 99)}, None: {(rnd.randrange(4), rnd.randrange(100)) for _ in range(40)}}
+    rows = [(t, 0, r, c, 3 if (r, c) in heavy else 2) for t, heavy in cells.items() for r in range(4) for c in range(100)]
+    sketch = spark.createDataFrame([*rows, ("none", 0, 1, 1, 2)], "tenant_id string, hour long, row int, cell long, n long").repartition(4)
+    found = {r["tenant_id"]: r for r in bulk.heavy_cells(sketch, 3, 100).collect()}
+    for t, heavy in cells.items():
+        words = dict(zip(found[t]["words"], found[t]["bits"], strict=True))
+        assert len(words) == len(found[t]["words"]) == len({(r * 100 + c) // 64 for r, c in heavy}) and 0 not in words.values()
+        assert {divmod(w * 64 + b, 100) for w, bits in words.items() for b in range(64) if bits >> b & 1} == heavy
+    assert found.keys() == cells.keys()
+    df = bulk.contents(sent(spark, 1500))
+    senders = bulk.bulk_senders(df, 5, width=100)
+    assert "lambda" not in plan_of(senders) and "array_contains" not in plan_of(senders)
+    assert collections.Counter(map(tuple, senders.select("tenant_id", "hour", "content", "n").collect())) == by_groups(df, 5)
+
+
 def test_job_changes_ask_the_store_once_a_job(spark):
     """A new job costs a read, a write and a timer, however many events it has; later runs of numbers still count once."""
     from types import SimpleNamespace
